@@ -21,6 +21,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed into sequences of up to 4096 ids."""
+    from provenspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class, set size and survivor flag of every document."""
     from provenspark.llm.near_dedup import near_duplicates
