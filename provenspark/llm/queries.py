@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    from provenspark.llm.warc import archived
+
+    return archived(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; a page's outcome is the quality label of the document that its path names."""
+    from provenspark.llm.url_filter import host_of, judge, path_of
+
+    pages = table(spark, sf_dir, "pages")
+    doc_id = F.regexp_extract(path_of(F.col("url")), "^/[a-z]+/([0-9]+)", 1).try_cast("long").alias("doc_id")
+    named = pages.select(host_of(F.col("url")).alias("host"), doc_id)
+    outcomes = named.join(table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad")), "doc_id").select("host", "bad")
+    return judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from provenspark.llm.secret_scan import joined, secret_spans
