@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from provenspark.llm.components import connected_components
 from provenspark.llm.shared import cut, forget
-from provenspark.llm.words import U64, mix, shingle_sets, windows
+from provenspark.llm.words import U64, mix, shingle_sets, slices, windows
 
 #: Shingle size in words, and the similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -40,7 +40,7 @@ SHORT, BLOCK = 64, 256
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         n, d1, d2, sketch = [], [], [], []
         for s in shingle_sets(batch.column(1), WORDS):
             n.append(len(s))

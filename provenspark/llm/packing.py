@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenspark.llm.shared import cut, parts
-from provenspark.llm.tokens import default_tokenizer, slices, word_ids
+from provenspark.llm.tokens import default_tokenizer, word_ids
+from provenspark.llm.words import slices
 
 SEQUENCE, END = 4096, 2
 #: Rows of the placement table up to which it goes out with the tasks; a longer one is joined.

@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, exactly or with other numbers, names or units."""
+    from provenspark.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from provenspark.llm.quality import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     from provenspark.llm.warc import archived
@@ -19,6 +34,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document."""
+    from provenspark.llm.toxicity import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict; a page's outcome is the quality label of the document that its path names."""
     from provenspark.llm.url_filter import host_of, judge, path_of

@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 
 from provenspark.llm.words import U64, word_hashes
 
@@ -84,16 +83,3 @@ class WordIds:
 def word_ids(path: str) -> WordIds:
     """The worker's cache for that tokenizer file."""
     return WordIds(path)
-
-
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
-    """Slices of a batch of about that many bytes of text, or of one longer row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
-    at, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += n
-    if at < batch.num_rows:
-        yield batch.slice(at)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 20
@@ -44,6 +45,8 @@ class _Tables:
         space = np.zeros(256, dtype=bool)
         space[[9, 10, 11, 12, 13, 32]] = True
         self.space = space
+        self.mark = np.zeros(256, dtype=bool)
+        self.mark[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
     def upto(self, n: int) -> None:
         if n > self.n:
@@ -72,11 +75,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo : offs[-1] if len(offs) else 0], offs - lo
 
 
-def _block(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of raw; cuts: positions where a word ends in any case."""
+def _block(raw: np.ndarray, cuts: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of raw; cuts: positions where a word ends in any case.
+
+    hashes has a row for whole words and one for each prefix length in bytes
+    (0: the word without ASCII punctuation at its end).
+    """
     if not len(raw):
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U64)
+        return z, z, np.zeros((1 + len(prefixes), 0), U64)
     TABLES.upto(len(raw))
     word = ~TABLES.space[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
@@ -89,7 +96,15 @@ def _block(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
     sums = np.zeros(len(raw) + 1, dtype=U64)
     np.cumsum(TABLES.byte[raw] * TABLES.power[: len(raw)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * TABLES.inverse[starts] + (ends - starts).astype(U64))
+    inverse, out = TABLES.inverse[starts], []
+    for k, p in enumerate([None, *prefixes]):
+        to = ends if p is None else np.minimum(starts + p, ends)
+        if p == 0:
+            to = ends.copy()
+            for _ in range(8):
+                to -= (to > starts + 1) & TABLES.mark[raw[to - 1]]
+        out.append(mix((sums[to] - sums[starts]) * inverse + (to - starts).astype(U64) + U64(k << 32)))
+    return starts, ends, np.stack(out)
 
 
 def blocks(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -109,25 +124,28 @@ def blocks(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray, spans: bool = False):
+def word_hashes(column: pa.Array | pa.ChunkedArray, spans: bool = False, prefixes: tuple[int, ...] = ()):
     """(hashes, first): all words' hashes in order, and first[i]:first[i+1] are those of text i.
 
     With spans also the words' byte starts and ends and the bytes themselves.
+    With prefixes the hashes have a row for words and one for each prefix length.
     """
     raw, offsets = utf8(column)
-    hashes, starts, ends = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, starts, ends = [np.zeros((1 + len(prefixes), 0), U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in blocks(raw, offsets):
         inner = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi, "left")] - lo
-        s, e, h = _block(raw[lo:hi], inner)
+        s, e, h = _block(raw[lo:hi], inner, prefixes)
         hashes.append(h)
         starts.append(s + lo)
         if spans:
             ends.append(e + lo)
     s = np.concatenate(starts)
     first = np.searchsorted(s, offsets, "left")
+    everything = np.concatenate(hashes, axis=1)
+    everything = everything if prefixes else everything[0]
     if spans:
-        return np.concatenate(hashes), first, s, np.concatenate(ends), raw
-    return np.concatenate(hashes), first
+        return everything, first, s, np.concatenate(ends), raw
+    return everything, first
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -157,3 +175,16 @@ def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int = 5) -> Iterator[
             yield mix(np.array([total], dtype=U64))
         else:
             yield np.zeros(0, U64)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+    """Slices of a batch of about that many bytes of text, or of one longer row."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+    at, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
