@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose vec_id is divisible by 20, among all rows."""
+    from provenspark.llm.ann import index, search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, exactly or with other numbers, names or units."""
     from provenspark.llm.decontamination import leaks
