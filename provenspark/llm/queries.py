@@ -61,6 +61,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent log10 probabilities of every document."""
+    from provenspark.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from provenspark.llm.secret_scan import joined, secret_spans
