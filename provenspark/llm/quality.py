@@ -159,3 +159,10 @@ def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).select("doc_id", *[c.alias(k) for k, c in stats.items()])
     out = rows.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), compiled(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
+
+
+def keep(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score KEEP or more, with their columns."""
+    stats = statistics(F.col(text_col).cast("string"))
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in stats.items()])
+    return rows.where(compiled(model) >= KEEP).select("_row.*")

@@ -134,19 +134,36 @@ def _ranked(kind: str, rank: int) -> Column:
     return F.transform(f"_{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _scanned(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
+    """rows (_row, _text) with base and spans."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    raw = rows.select("_row", "_text", _spans(text, ASSIGN, ASSIGN_VALUE).alias("_assign"), _spans(text, ACCESS).alias("_access"), _spans(text, HEX).alias("_hex"), _spans(text, CANDIDATE).alias("_candidates"))
+    ranked = F.concat(*[_ranked(k, r) for r, k in enumerate(["assign", "access", "hex"])])
+    based = raw.select("_row", "_text", F.array_sort(ranked).alias("base"), "_candidates")
+    return based.select("_row", "_text", "base", F.array_sort(F.concat("base", _entropy_spans(F.col("_candidates"), F.col("base"), allow))).alias("spans"))
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """(id, base, spans): sorted arrays of struct<start,rank,end,kind>, positions in code points, end exclusive.
 
     Null texts count as empty and give empty arrays; null and repeated ids are
     returned row for row; other columns are not read.
     """
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    raw = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).select(
-        "_id", _spans(text, ASSIGN, ASSIGN_VALUE).alias("_assign"), _spans(text, ACCESS).alias("_access"), _spans(text, HEX).alias("_hex"), _spans(text, CANDIDATE).alias("_candidates")
-    )
-    ranked = F.concat(*[_ranked(k, r) for r, k in enumerate(["assign", "access", "hex"])])
-    based = raw.select("_id", F.array_sort(ranked).alias("base"), "_candidates")
-    return based.select(F.col("_id").alias(id_col), "base", F.array_sort(F.concat("base", _entropy_spans(F.col("_candidates"), F.col("base"), allow))).alias("spans"))
+    rows = docs.select(F.struct(F.col(id_col).alias(id_col)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    return _scanned(rows, allow).select(F.col("_row")[id_col].alias(id_col), "base", "spans")
+
+
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """docs with every span replaced by mark, and chars_col, where there is one, set anew for those rows.
+
+    Rows without a span, null texts among them, stay as they are.
+    """
+    done = _scanned(docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text")), allow)
+    text = done.select("_row", F.size("spans").alias("_n"), redacted(F.col("_text"), F.col("spans"), mark).alias("_text"))
+    new = {text_col: F.col("_text")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("_n") > 0, F.length("_text")).otherwise(F.col("_row")[chars_col]).cast(docs.schema[chars_col].dataType)
+    return text.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
