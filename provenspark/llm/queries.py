@@ -96,4 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from provenspark.llm.oracles import oracle_sql as found
+
+    return found()
