@@ -37,14 +37,31 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         yield h, c, hi - lo
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, c, n = [], [], []
-        for hashes, counts, words in features(batch.column("text")):
-            h.append(hashes.tobytes())
-            c.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
-            n.append(words)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(h, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], names=["id", "y", "h", "c", "n"])
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and toxic documents by feature, summed for each slice."""
+    for batch in (part for whole in batches for part in slices(whole, "text")):
+        toxic = batch.column("y").to_numpy()
+        lists = [h for h, _, _ in features(batch.column("text"))]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        seen = np.bincount(at, minlength=len(keys))
+        bad = np.bincount(at, np.repeat(toxic, [len(x) for x in lists]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen), pa.array(bad)], names=["h", "seen", "bad"])
+
+
+def _gather(kept: np.ndarray):
+    """Each document's kept features (sorted hashes) and their counts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            h, c, n = [], [], []
+            for hashes, counts, words in features(batch.column("text")):
+                own = np.isin(hashes, kept)
+                h.append(hashes[own].tobytes())
+                c.append(counts[own].astype(np.int64).tobytes())
+                n.append(words)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(h, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], names=["id", "y", "h", "c", "n"])
+
+    return run
 
 
 def values(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -160,12 +177,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = [usable.where(f"y = {c}").orderBy(F.xxhash64("id"), "id").limit(most) for c in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = pick[0].unionByName(pick[1])
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(_gather, "id long, y int, h binary, c binary, n long").toPandas()  # two times `most` rows
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # two times `most` rows
+    share = min(0.999, max(0.001, (k or 0) / n)) if n else 0.5
+    p = min(k or 0, most) / max(1, min(k or 0, most) + min(n - (k or 0), most))
+    far = F.abs(F.col("bad") - F.col("seen") * p) / F.sqrt(F.col("seen") * p * (1 - p) + 1e-9)
+    tally = sample.mapInArrow(_tally, "h long, seen long, bad long").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    kept = tally.where((F.col("seen") >= LEAST) & (far >= DEVIATION)).orderBy(far.desc(), "h").limit(FEATURES).select("h").toPandas()["h"].to_numpy(np.int64)
+    rows = sample.mapInArrow(_gather(np.sort(kept.view(U64))), "id long, y int, h binary, c binary, n long").toPandas()
     rows = rows.sort_values(["id", "y", "n"], kind="stable")
     lists = [np.frombuffer(b, U64) for b in rows["h"]]
-    counts = [np.frombuffer(b, np.uint16).astype(np.int64) for b in rows["c"]]
+    counts = [np.frombuffer(b, np.int64) for b in rows["c"]]
     toxic, words = rows["y"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    share = min(0.999, max(0.001, (k or 0) / n)) if n else 0.5
     return fit(lists, counts, words, grades(toxic, lists, counts, words), share)
 
 
