@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenspark.llm import gru
-from provenspark.llm.shared import cut, held_out
+from provenspark.llm.shared import cut, held_out, numbers
 from provenspark.llm.words import U64, mix, slices, word_hashes
 
 #: Training documents and tokens of the recurrent model at most; words whose counts go out with the tasks at most.
-SAMPLE, TOKENS, FREQUENT = 3_000, 600_000, 1_000_000
+SAMPLE, TOKENS, FREQUENT = 3_000, 600_000, 400_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 1_500_000
 END = mix(np.array([0x5EED], dtype=U64))[0]
@@ -173,8 +173,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         if total > FREQUENT:
             break
         least = bins[b][0]
-    found = words.where(F.col("c") >= least).toPandas()  # at most FREQUENT rows of two numbers
-    keys, counts = found["h"].to_numpy(np.int64).view(U64), found["c"].to_numpy(np.int64)
+    keys, counts = numbers(words.where(F.col("c") >= least).select("h", "c"))  # at most FREQUENT rows of two numbers
+    keys = keys.view(U64)
     order = np.lexsort((keys, -counts))[: gru.WORDS - 2]
     ids = np.zeros(len(keys), np.int64)
     ids[order] = np.arange(1, len(order) + 1)

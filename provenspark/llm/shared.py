@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,15 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _blobs(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns], names=batch.schema.names)
+
+
+def numbers(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table of longs, brought to the driver as packed blocks rather than rows."""
+    rows = df.mapInArrow(_blobs, ", ".join(f"`{c}` binary" for c in df.columns)).collect()
+    return [np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.int64) for k in range(len(df.columns))]
