@@ -140,11 +140,11 @@ def recall(queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: Dat
     n = nodes.agg(F.count("*").alias("n"))
     terms = query_terms(queries).join(queries.select("query_id", "viewer", "query"), "query_id")
     cands = lexical_candidates(terms.select("query_id", "term", "n_terms"), post, term_idf(post, n))
-    facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), "content", "source_ref", "at", "claim_class", "epistemic", "kind")
-    seen = cands.join(facts, "node").join(queries.select("query_id", "viewer", "query"), "query_id").join(visible, ["viewer", "owner"])
+    facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), "content", "source_ref", "at", "claim_class", "epistemic", "kind", text.identifiers(F.col("content")).alias("ids"))
+    asked = queries.select("query_id", "viewer", text.answer_type(F.col("query")).alias("want"), text.identifiers(F.col("query")).alias("asked"))
+    seen = cands.join(facts, "node").join(asked, "query_id").join(visible, ["viewer", "owner"])
     seen = seen.where("level = 'full' or kind in ('summary', 'abstraction', 'community')").join(states, "node")
-    want = text.answer_type(F.col("query"))
-    score = F.col("score") * F.when(F.coalesce("suppressed", F.lit(False)), fixed.SUPPRESSED).otherwise(1.0) * text.affinity(F.col("content"), want) * text.exactness(text.identifiers(F.col("content")), text.identifiers(F.col("query")))
+    score = F.col("score") * F.when(F.coalesce("suppressed", F.lit(False)), fixed.SUPPRESSED).otherwise(1.0) * text.affinity(F.col("content"), F.col("want")) * text.exactness(F.col("ids"), F.col("asked"))
     scored = seen.withColumn("score", score)
     signals = conflict(scored)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "content", "node")

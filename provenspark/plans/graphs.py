@@ -52,12 +52,12 @@ def _pagerank() -> str:
     out = f"WITH {EDGES}, l AS (SELECT child_id AS c, parent_id AS p FROM edges UNION ALL SELECT decision_id, node_id FROM basis), o AS (SELECT c, count(*) AS k FROM l GROUP BY c), lk AS (SELECT l.c, l.p, o.k FROM l JOIN o USING (c)), seed AS (SELECT n, CASE WHEN n LIKE 'dec_%' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM (SELECT c AS n FROM l UNION SELECT p FROM l)), r0 AS (SELECT n, s AS r FROM seed)"
     for k in range(20):
         out += f", r{k + 1} AS MATERIALIZED (SELECT seed.n, 0.15 * any_value(s) + coalesce(sum(0.85 * r{k}.r / lk.k), 0) AS r FROM seed LEFT JOIN lk ON lk.p = seed.n LEFT JOIN r{k} ON r{k}.n = lk.c GROUP BY seed.n)"
-    return out + " SELECT n AS node, round(r / max(r) OVER () + 1e-9, 4) AS score FROM r20"
+    return out + " SELECT n AS node, round(r / max(r) OVER (), 6) AS score FROM r20"
 
 
 @query("criticality_pagerank", _pagerank())
 def _(t):
-    return graph.criticality(edges(t), basis(t)).withColumn("score", F.round(F.col("score") + 1e-9, 4))
+    return graph.criticality(edges(t), basis(t))
 
 
 @query("components", "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 'o' || l_orderkey AS b FROM lineitem WHERE l_orderkey % 40 = 0 AND l_quantity > 25), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x")
