@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = links.unionByName(cut(_long_lists(members, first, texts), "links"))
     final = connected_components(found)
     by_class = classes.select("n", "d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    alone = F.when((F.col("n") == 0) | F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
+    alone = F.when(F.col("id").isNull() | (F.col("n") == 0) | F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
     out = seen.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
