@@ -122,8 +122,8 @@ def _rows(table: Frequent, end_count: int, params: dict):
                         batch.column("doc_id"),
                         words + 1,
                         np.bincount(doc, known_t, n).astype(np.int64) + (end_count > 0),
-                        np.bincount(doc, logs[at], n) + log_end,
-                        np.bincount(doc, np.where(other_t, logs[at], 0), n),
+                        np.bincount(doc, logs[at], n).astype(np.float64) + log_end,
+                        np.bincount(doc, np.where(other_t, logs[at], 0), n).astype(np.float64),
                         np.bincount(doc, other_t, n).astype(np.int64),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(unknown)),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(times.astype(np.int32))),

@@ -93,7 +93,7 @@ def _merged(path: tuple) -> tuple:
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> tuple[float, list[tuple[float, Rule]]]:
-    """(intercept, [(weight, rule)]); without both classes the intercept alone, from smoothed counts."""
+    """(intercept, [(weight, rule)]); without both classes, or rows enough to split, the intercept alone, from smoothed counts."""
     n, k = len(y), float(y.sum())
     prior = math.log((k + 1) / (n - k + 1))
     if not 0 < k < n:
@@ -106,6 +106,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> tuple[
         rows = np.flatnonzero(random.random(n) < 0.7)
         _tree(bins, p - y, p * (1 - p), DEPTH, 0.3, margin, rows, (), paths)
     rules = sorted({_merged(p) for p in paths})
+    if not rules:
+        return prior, []
     holds = np.stack([np.logical_and.reduce([(bins[:, f] <= c) if side == "<=" else (bins[:, f] > c) for f, side, c in r]) for r in rules], axis=1)
     _, keep = np.unique(holds, axis=1, return_index=True)  # rules that hold for the same rows count once
     keep = sorted(keep.tolist())
