@@ -207,7 +207,7 @@ def _(t):
 def _(t):
     v = vecs(t)
     a, b = v.select(F.col("id").alias("a"), F.col("v").alias("va"), "label"), v.select(F.col("id").alias("b"), F.col("v").alias("vb"), "label")
-    e = a.join(b, "label").where("a < b").select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("w")).where("w >= 0.38")
+    e = a.join(b, "label").where("a < b").select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("w")).where("w >= 0.30")
     return graph.label_propagation(e)
 
 
