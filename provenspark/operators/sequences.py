@@ -98,11 +98,17 @@ def reliability_curve(rows: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """One row: probability that a positive scores above a negative, ties half; from ranks within score groups."""
+    """One row: probability that a positive scores above a negative, ties half, null without both; from ranks of score groups."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count("*").alias("n"))
     below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     parts = by.withColumn("neg", F.col("n") - F.col("p")).withColumn("below", F.coalesce(below, F.lit(0.0)))
-    return parts.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("neg") / 2)) / (F.sum("p") * F.sum("neg")), 4).alias("auc"))
+    return parts.agg(F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("neg") / 2)), F.sum("p") * F.sum("neg")), 4).alias("auc"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; 0 where either side does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
 def track_record(rows: DataFrame, key: str, good: str, bad: str) -> DataFrame:

@@ -101,7 +101,7 @@ def _(t):
 
 @query("correlation", "SELECT event_type, round(CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(corr(value, user_id), 0) END, 4) AS r FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.round(F.when(F.count("*") < 3, 0.0).otherwise(F.coalesce(F.corr("value", F.col("user_id").cast("double")), F.lit(0.0))), 4).alias("r"))
+    return t.events.groupBy("event_type").agg(F.round(F.when(F.count("*") < 3, 0.0).otherwise(sequences.correlation("value", "user_id")), 4).alias("r"))
 
 
 SURPRISE = f"""m AS (SELECT conv_id, turn, list_distinct({toks("text")}) AS t, row_number() OVER w AS rn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
