@@ -91,32 +91,47 @@ def affinity(text: Column, want: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    chars = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
-    share = lambda c: (n - F.length(F.replace(t, c, F.lit("")))) / n
-    return F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+
+    def bits(x: Column) -> Column:
+        left = lambda c: 1 - F.length(F.replace(x["t"], c, F.lit(""))) / x["n"]
+        return F.aggregate(x["chars"], F.lit(0.0), lambda acc, c: acc - let(left(c), lambda p: p * F.log2(p)))
+
+    return let(F.struct(t.alias("t"), F.length(t).alias("n"), F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")).alias("chars")), bits)
 
 
 def screen(text: Column, origin: Column, contradiction: Column | None = None) -> Column:
-    """struct<score, verdict, signals> of the signs that a text was planted."""
+    """struct<score, verdict, signals> of the signs that a text was planted.
+
+    Every test is worked out once and bound; the costly ones only where a text is long.
+    """
     t = F.coalesce(text, F.lit(""))
-    tok = tokens(t)
-    dense = (F.length(t) > 200) & (F.size(tok) > 0)
-    hits = [(name, weight, t.rlike(pattern)) for name, weight, pattern in fixed.INJECTION]
-    other = reduce(lambda a, b: a | b, [h for _, _, h in hits])
-    name, weight, pattern = fixed.BARE_IMPERATIVE
-    hits.append((name, weight, other & t.rlike(pattern)))
-    name, weight, bound = fixed.LOW_ENTROPY
-    hits.append((name, weight, dense & F.when(dense, entropy(t) < bound).otherwise(False)))
-    name, weight, bound = fixed.REPETITION
-    hits.append((name, weight, dense & (F.size(F.array_distinct(tok)) / F.greatest(F.size(tok), F.lit(1)) < bound)))
-    if contradiction is not None:
-        name, weight, bound = fixed.CONTRADICTION
-        hits.append((name, weight, F.coalesce(contradiction > bound, F.lit(False))))
-    total = reduce(lambda a, b: a + b, [F.when(h, F.lit(w)).otherwise(0.0) for _, w, h in hits])
-    score = F.round(F.least(F.lit(1.0), total * F.when(origin == "user_utterance", fixed.USER_WEIGHT).otherwise(1.0)), 3)
-    signals = F.array_compact(F.array(*[F.when(h, F.lit(n)) for n, _, h in hits]))
-    return F.struct(score.alias("score"), F.when(score >= fixed.BLOCKED, "blocked").when(score >= fixed.SUSPECT, "suspect").otherwise("clean").alias("verdict"), signals.alias("signals"))
+    (_, _, low), (_, _, repeated), (_, _, most) = fixed.LOW_ENTROPY, fixed.REPETITION, fixed.CONTRADICTION
+    marks = [t.rlike(pattern) for _, _, pattern in fixed.INJECTION]
+    long = F.length(t) > 200
+    many = let(tokens(t), lambda k: F.struct((F.size(k) > 0).alias("some"), (F.size(F.array_distinct(k)) / F.greatest(F.size(k), F.lit(1)) < repeated).alias("few")))
+    seen = F.struct(
+        F.array(*marks).alias("marks"),
+        t.rlike(fixed.BARE_IMPERATIVE[2]).alias("bare"),
+        F.when(long, many).alias("many"),
+        F.when(long, entropy(t) < low).alias("low"),
+        (F.lit(False) if contradiction is None else F.coalesce(contradiction > most, F.lit(False))).alias("against"),
+        F.when(origin == "user_utterance", fixed.USER_WEIGHT).otherwise(1.0).alias("weight"),
+    )
+    names = [n for n, _, _ in (*fixed.INJECTION, fixed.BARE_IMPERATIVE, fixed.LOW_ENTROPY, fixed.REPETITION, fixed.CONTRADICTION)]
+    weights = [w for _, w, _ in (*fixed.INJECTION, fixed.BARE_IMPERATIVE, fixed.LOW_ENTROPY, fixed.REPETITION, fixed.CONTRADICTION)]
+
+    def told(x: Column) -> Column:
+        dense = F.coalesce(x["many"]["some"], F.lit(False))
+        rest = F.array(x["bare"] & F.exists(x["marks"], lambda m: m), dense & F.coalesce(x["low"], F.lit(False)), dense & F.coalesce(x["many"]["few"], F.lit(False)), x["against"])
+        return F.struct(F.concat(x["marks"], rest).alias("hits"), x["weight"].alias("weight"))
+
+    def scored(x: Column) -> Column:
+        total = F.aggregate(F.zip_with(x["hits"], F.array(*[F.lit(w) for w in weights]), lambda h, w: F.when(h, w).otherwise(0.0)), F.lit(0.0), lambda acc, w: acc + w)
+        signals = F.array_compact(F.zip_with(x["hits"], F.array(*[F.lit(n) for n in names]), lambda h, n: F.when(h, n)))
+        return F.struct(F.round(F.least(F.lit(1.0), total * x["weight"]), 3).alias("score"), signals.alias("signals"))
+
+    judged = lambda x: F.struct(x["score"].alias("score"), F.when(x["score"] >= fixed.BLOCKED, "blocked").when(x["score"] >= fixed.SUSPECT, "suspect").otherwise("clean").alias("verdict"), x["signals"].alias("signals"))
+    return let(let(let(seen, told), scored), judged)
 
 
 def origin_key(source_ref: Column) -> Column:
