@@ -45,6 +45,11 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", query: str = "quer
     return queries.select(F.col(id_col).alias("query_id"), F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
 
 
+def asked(post: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of terms that some query has; frequencies of those terms are the same there."""
+    return post.join(terms.select("term").distinct(), "term", "left_semi")
+
+
 def lexical_candidates(terms: DataFrame, post: DataFrame, idf: DataFrame) -> DataFrame:
     """(query_id, node, score): coverage of the query's terms times the summed weight over the query's best.
 
@@ -139,7 +144,8 @@ def recall(queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: Dat
     post = postings(nodes).join(states.where("tier != 'pruned'").select("node"), "node")
     n = nodes.agg(F.count("*").alias("n"))
     terms = query_terms(queries).join(queries.select("query_id", "viewer", "query"), "query_id")
-    cands = lexical_candidates(terms.select("query_id", "term", "n_terms"), post, term_idf(post, n))
+    held = asked(post, terms)
+    cands = lexical_candidates(terms.select("query_id", "term", "n_terms"), held, term_idf(held, n))
     facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), "content", "source_ref", "at", "claim_class", "epistemic", "kind", text.identifiers(F.col("content")).alias("ids"))
     asked = queries.select("query_id", "viewer", text.answer_type(F.col("query")).alias("want"), text.identifiers(F.col("query")).alias("asked"))
     seen = cands.join(facts, "node").join(asked, "query_id").join(visible, ["viewer", "owner"])
@@ -150,7 +156,7 @@ def recall(queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: Dat
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "content", "node")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     best = ranked.where("rank = 1").select("query_id", F.col("r").alias("best_r"))
-    gathered = queries.select("query_id", "query").join(coverage(terms.select("query_id", "term", "n_terms"), post), "query_id", "left").join(signals, "query_id", "left").join(best, "query_id", "left")
+    gathered = queries.select("query_id", "query").join(coverage(terms.select("query_id", "term", "n_terms"), held), "query_id", "left").join(signals, "query_id", "left").join(best, "query_id", "left")
     gathered = gathered.na.fill({"coverage": 0.0, "n": 0, "best": 0.0, "conflict": 0.0, "best_r": 0.0})
     state = memory.gate(F.col("n"), F.col("coverage"), F.col("best"), F.col("best_r"), F.col("conflict"), F.lit(0.25), F.lit(None).cast("boolean"))
     told = absent(queries, absences, now)

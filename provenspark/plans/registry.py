@@ -10,6 +10,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables of long texts, on which narrow stages work hardest.
+TEXTS = {"documents", "conversations"}
+#: A table in fewer partitions than this and than there are cores is dealt anew; larger ones never are.
+FEW = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is a small table that one or a few tasks would read alone."""
+    cores = min(FEW, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The tables of one folder by name."""
 
@@ -17,7 +29,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        found = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(found) if name in TEXTS else found
 
     def rows(self, data: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(data, schema)
