@@ -45,7 +45,7 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", query: str = "quer
     return queries.select(F.col(id_col).alias("query_id"), F.size(terms).alias("n_terms"), F.explode(terms).alias("term"))
 
 
-def asked(post: DataFrame, terms: DataFrame) -> DataFrame:
+def sought(post: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings of terms that some query has; frequencies of those terms are the same there."""
     return post.join(terms.select("term").distinct(), "term", "left_semi")
 
@@ -144,7 +144,7 @@ def recall(queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: Dat
     post = postings(nodes).join(states.where("tier != 'pruned'").select("node"), "node")
     n = nodes.agg(F.count("*").alias("n"))
     terms = query_terms(queries).join(queries.select("query_id", "viewer", "query"), "query_id")
-    held = asked(post, terms)
+    held = sought(post, terms)
     cands = lexical_candidates(terms.select("query_id", "term", "n_terms"), held, term_idf(held, n))
     facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), "content", "source_ref", "at", "claim_class", "epistemic", "kind", text.identifiers(F.col("content")).alias("ids"))
     asked = queries.select("query_id", "viewer", text.answer_type(F.col("query")).alias("want"), text.identifiers(F.col("query")).alias("asked"))

@@ -37,7 +37,7 @@ def documents(t: Tables):
 def candidates(t: Tables):
     docs = documents(t)
     terms = retrieval.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-    post = retrieval.asked(retrieval.postings(docs), terms)
+    post = retrieval.sought(retrieval.postings(docs), terms)
     return retrieval.lexical_candidates(terms, post, retrieval.term_idf(post, docs.agg(F.count("*").alias("n"))))
 
 
