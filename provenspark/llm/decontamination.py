@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from provenspark.llm.shared import cut
 from provenspark.llm.words import TABLES, U64, mix, slices, windows, word_hashes
 
-#: Tokens of a window, words in it that are not slots at least, and covered part of an item's windows.
-WINDOW, LITERALS, COVER = 8, 4, 0.5
+#: Tokens of a window, words in it that are not slots at least, covered part of an item's windows, and covered windows at least (or all, of an item with fewer).
+WINDOW, LITERALS, COVER, LEAST = 8, 4, 0.3, 3
 #: Bits of the Bloom filter (as a power of two): its size does not depend on the benchmark.
 BLOOM = 23
 #: Fixed unit words; they are slots after a number.
@@ -187,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.max(F.size("pairs")).alias("slots"), F.max(replaced).alias("replaced")
     )
     total = own.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").cast("int").alias("windows"))
-    out = found.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).where(f"coverage >= {COVER}")
+    out = found.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).where(f"coverage >= {COVER} and matched >= least({LEAST}, windows)")
     return out.select("doc_id", "item_id", "windows", "matched", "coverage", "slots", "replaced", F.when(F.col("replaced") > 0, "reparameterised").otherwise("exact").alias("kind"))
 
 
