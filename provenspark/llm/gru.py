@@ -98,8 +98,9 @@ def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray
     h, (steps, n) = STATE, inputs.shape
     g = {k: np.zeros_like(v) for k, v in p.items()}
     kept, hs, s = [], [], state
+    read = p["embed"] + p["b_in"]
     for t in range(steps):
-        x = p["embed"][inputs[t]] + p["b_in"]
+        x = read[inputs[t]]
         a = s @ p["u"] + p["b_state"]
         gates = _sigmoid(x[:, : 2 * h] + a[:, : 2 * h])
         new = np.tanh(x[:, 2 * h :] + gates[:, h:] * a[:, 2 * h :])
@@ -136,6 +137,7 @@ def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray
     every[rows] = ds
     every = every.reshape(steps, n, h)
     back = np.zeros((n, h), np.float32)
+    read_by = np.zeros((steps, n, 3 * h), p["embed"].dtype)
     for t in reversed(range(steps)):
         s, a, gates, new, m = kept[t]
         d = back + every[t]
@@ -145,17 +147,22 @@ def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray
         dz = moved * (s - new) * z * (1 - z)
         dr = dn * a[:, 2 * h :] * r * (1 - r)
         da = np.concatenate([dz, dr, dn * r], axis=1)
-        dx = np.concatenate([dz, dr, dn], axis=1)
+        read_by[t] = np.concatenate([dz, dr, dn], axis=1)
         g["u"] += s.T @ da
         g["b_state"] += da.sum(axis=0)
-        g["b_in"] += dx.sum(axis=0)
-        np.add.at(g["embed"], inputs[t], dx)
         back = moved * z + da @ p["u"].T + d * ~m
+    dx, ids = read_by.reshape(steps * n, 3 * h), inputs.ravel()
+    g["b_in"] += dx.sum(axis=0)
+    if len(ids):
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g["embed"][ids[at]] += np.add.reduceat(dx[order], at, axis=0)
     return float(loss), g, s if not steps else hs[-1]
 
 
-def fit(documents: list[np.ndarray], counts: np.ndarray, tokens: int, seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters after EPOCHS passes of at most `tokens` tokens each; biases start at the log frequencies of counts (by id)."""
+def start(counts: np.ndarray, seed: int = 3) -> dict:
+    """What training carries from round to round: parameters, Adam's moments and steps; biases start at the log frequencies of counts (by id)."""
     p = fresh(seed)
     c = np.maximum(counts.astype(np.float64), 0.5)
     by_class = c.copy()
@@ -166,40 +173,60 @@ def fit(documents: list[np.ndarray], counts: np.ndarray, tokens: int, seed: int
     c[0] = 1e-3  # never a target within its class
     p["word_b"][:] = np.log(c.reshape(CLASSES, PER))
     p["word_b"] -= p["word_b"].max(axis=1, keepdims=True)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    random, done = np.random.default_rng(seed), 0
-    for epoch in range(EPOCHS):
-        used, order = 0, random.permutation(len(documents))
-        pools = [sorted(order[i : i + 8 * SIDE], key=lambda d: len(documents[d])) for i in range(0, len(order), 8 * SIDE)]
-        batches = [pool[i : i + SIDE] for pool in pools for i in range(0, len(pool), SIDE)]
-        for k in random.permutation(len(batches)):
-            docs = [documents[d] for d in batches[k]]
-            most, n = max(map(len, docs)), len(docs)
-            state = np.zeros((n, STATE), np.float32)
-            before = np.full(n, WORDS)
-            for at in range(0, most, WINDOW):
-                if used >= tokens:
-                    break
-                parts = [d[at : at + WINDOW] for d in docs]
-                steps = max(map(len, parts))
-                y, mask = np.zeros((steps, n), np.int64), np.zeros((steps, n), bool)
-                for j, part in enumerate(parts):
-                    y[: len(part), j] = part
-                    mask[: len(part), j] = True
-                x = np.concatenate([before[None], y[:-1]])
-                _, g, state = gradients(p, x, y, mask, state)
-                before = y[-1]
-                rows = int(mask.sum())
-                used += rows
-                done += 1
-                g["b_state"][2 * STATE :] = 0
-                norm = np.sqrt(sum(float((v / rows).ravel() @ (v / rows).ravel()) for v in g.values()))
-                scale = min(1.0, 1.0 / max(norm, 1e-12)) / rows
-                rate = RATE * 0.5**epoch * np.sqrt(1 - 0.999**done) / (1 - 0.9**done)
-                for name in NAMES:
-                    v = g[name] * scale
-                    first[name] += 0.1 * (v - first[name])
-                    second[name] += 0.001 * (v * v - second[name])
-                    p[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
-    return {k: v.astype(np.float32) for k, v in p.items()}
+    return {"p": p, "first": {k: np.zeros_like(v) for k, v in p.items()}, "second": {k: np.zeros_like(v) for k, v in p.items()}, "done": 0}
+
+
+def flat(state: dict) -> np.ndarray:
+    """Parameters and moments in one row, to be summed and averaged."""
+    return np.concatenate([state[part][k].ravel() for part in ("p", "first", "second") for k in NAMES]).astype(np.float64)
+
+
+def shaped(row: np.ndarray, done: int) -> dict:
+    """The state of such a row."""
+    out, at = {"done": done}, 0
+    like = fresh()
+    for part in ("p", "first", "second"):
+        out[part] = {}
+        for k in NAMES:
+            out[part][k] = row[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+            at += like[k].size
+    return out
+
+
+def train(state: dict, documents: list[np.ndarray], epoch: int, seed: int = 3) -> tuple[dict, int]:
+    """(state, tokens) after one whole pass over the documents, each read to its end."""
+    p, first, second = ({k: v.copy() for k, v in state[part].items()} for part in ("p", "first", "second"))
+    done, tokens, random = state["done"], 0, np.random.default_rng([seed, epoch])
+    order = random.permutation(len(documents))
+    pools = [sorted(order[i : i + 8 * SIDE], key=lambda d: len(documents[d])) for i in range(0, len(order), 8 * SIDE)]
+    batches = [pool[i : i + SIDE] for pool in pools for i in range(0, len(pool), SIDE)]
+    for k in random.permutation(len(batches)):
+        docs = [documents[d] for d in batches[k]]  # by length, so those that have ended come first
+        most = max(map(len, docs))
+        held = np.zeros((len(docs), STATE), np.float32)
+        before = np.full(len(docs), WORDS)
+        for at in range(0, most, WINDOW):
+            over = sum(len(d) <= at for d in docs)
+            docs, held, before = docs[over:], held[over:], before[over:]
+            parts = [d[at : at + WINDOW] for d in docs]
+            n, steps = len(parts), max(map(len, parts))
+            y, mask = np.zeros((steps, n), np.int64), np.zeros((steps, n), bool)
+            for j, part in enumerate(parts):
+                y[: len(part), j] = part
+                mask[: len(part), j] = True
+            x = np.concatenate([before[None], y[:-1]])
+            _, g, held = gradients(p, x, y, mask, held)
+            before = y[-1]
+            rows = int(mask.sum())
+            tokens += rows
+            done += 1
+            g["b_state"][2 * STATE :] = 0
+            norm = np.sqrt(sum(float(v.ravel() @ v.ravel()) for v in g.values())) / rows
+            scale = min(1.0, 1.0 / max(norm, 1e-12)) / rows
+            rate = RATE * 0.5**epoch * np.sqrt(1 - 0.999**done) / (1 - 0.9**done)
+            for name in NAMES:
+                v = g[name] * np.float32(scale)
+                first[name] += np.float32(0.1) * (v - first[name])
+                second[name] += np.float32(0.001) * (v * v - second[name])
+                p[name] -= np.float32(rate) * first[name] / (np.sqrt(second[name]) + np.float32(1e-8))
+    return {"p": p, "first": first, "second": second, "done": done}, tokens

@@ -4,7 +4,9 @@
    summed in the worker, then by one shuffle).  The table goes to the shared
    folder and grows with the corpus.
 2. The ``WORDS`` - 2 most frequent words get model ids; the recurrent model is
-   fitted on at most ``SAMPLE`` training documents and ``TOKENS`` tokens.
+   fitted on every training document, whole.  Documents are dealt by hash into
+   shards of about ``TOKENS`` tokens; in each round every shard is passed over
+   from the same parameters, and the results are averaged by tokens.
 3. One pass scores every document: counts of up to ``FREQUENT`` words go out
    with the tasks, every other word of a document is listed beside its row.
 4. Listed words meet the count table in a hash join, are summed by document
@@ -27,8 +29,10 @@ from provenspark.llm import gru
 from provenspark.llm.shared import cut, held_out, numbers
 from provenspark.llm.words import U64, mix, slices, word_hashes
 
-#: Training documents and tokens of the recurrent model at most; words whose counts go out with the tasks at most.
-SAMPLE, TOKENS, FREQUENT = 3_000, 600_000, 400_000
+#: Training tokens of a shard, about; words whose counts go out with the tasks at most.
+TOKENS, FREQUENT = 600_000, 400_000
+#: Tasks that add up the states of a round.
+ADDERS = 8
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 1_500_000
 END = mix(np.array([0x5EED], dtype=U64))[0]
@@ -80,18 +84,61 @@ class Frequent:
 
 
 def _ids(table: Frequent):
-    """Model ids of sample documents, as bytes."""
+    """Model ids of whole training documents, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             hashes, first = word_hashes(batch.column("text"))
             ids = table.find(hashes)[2]
-            out = [np.append(ids[lo:hi], gru.WORDS - 1).astype(np.int16)[:TOKENS].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+            out = [np.append(ids[lo:hi], gru.WORDS - 1).astype(np.int16).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(out, pa.binary())], names=["shard", "ids"])
 
     return run
 
 
+STATES = "tokens long, done long, state binary"
+
+
+def _states(tokens: int, done: int, row: np.ndarray) -> list[pa.Array]:
+    return [pa.array([tokens], pa.int64()), pa.array([done], pa.int64()), pa.array([row.tobytes()], pa.binary())]
+
+
+def _pass(state: dict, epoch: int):
+    """One shard's state after a pass, weighted by its tokens."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(b, np.int16).astype(np.int64) for b in sorted(shard.column("ids").to_pylist())]
+        after, tokens = gru.train(state, texts, epoch)
+        return pa.table(_states(tokens, after["done"], gru.flat(after) * tokens), names=["tokens", "done", "state"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All states of a task added up."""
+    tokens, done, total = 0, 0, None
+    for batch in batches:
+        for t, d, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = np.frombuffer(row, np.float64)
+            tokens, done, total = tokens + t, max(done, d), row if total is None else total + row
+    if total is not None:
+        yield pa.RecordBatch.from_arrays(_states(tokens, done, total), names=["tokens", "done", "state"])
+
+
+def fitted(shards: DataFrame, counts: np.ndarray) -> tuple[dict, int]:
+    """(parameters, tokens of a round) from shards (shard, ids): EPOCHS rounds, each a pass over all of them."""
+    state, tokens = gru.start(counts), 0
+    for epoch in range(gru.EPOCHS):
+        sums = shards.groupBy("shard").applyInArrow(_pass(state, epoch), STATES).mapInArrow(_added, STATES)
+        found = sums.repartition(ADDERS).mapInArrow(_added, STATES).collect()  # at most ADDERS rows
+        if not found:
+            break
+        tokens = sum(r["tokens"] for r in found)
+        row = sum(np.frombuffer(bytes(r["state"]), np.float64) for r in found)
+        state = gru.shaped(row / tokens, max(r["done"] for r in found))
+    return state["p"], tokens
+
+
 ROWS = "row long, doc_id long, n_tokens long, known long, logs double, other_logs double, others long, model double, hashes array<long>, counts array<int>"
 
 
@@ -180,15 +227,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ids[order] = np.arange(1, len(order) + 1)
     table = Frequent(keys, counts, ids)
 
-    chosen = training.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(chosen.distinct()), "doc_id").select(F.col("doc_id").alias("id"), "text").mapInArrow(_ids(Frequent(keys[order], counts[order], ids[order])), "id long, ids binary")  # SAMPLE rows
-    texts = [np.frombuffer(b, np.int16).astype(np.int64) for _, b in sorted((r["id"], bytes(r["ids"])) for r in sample.collect())]
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-n // TOKENS)))).alias("shard")
+    shards = cut(training.select(shard, "text").mapInArrow(_ids(Frequent(keys[order], counts[order], ids[order])), "shard long, ids binary"), "model-ids")
     by_id = np.zeros(gru.WORDS, np.int64)
     by_id[ids[order]] = counts[order]
     by_id[gru.WORDS - 1] = end_count
     other_tokens, other_words = n - int(by_id.sum()), v - len(order) - (end_count > 0)
     by_id[0] = max(1, other_tokens)
-    params = gru.fit(texts, by_id, TOKENS)
+    params, _ = fitted(shards, by_id)
 
     main = cut(rows.mapInArrow(_rows(table, end_count, params), ROWS), "scored")
     listed = main.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select("row", F.col("x.hashes").alias("h"), F.col("x.counts").alias("k"))

@@ -78,3 +78,18 @@ def test_state_is_carried_and_words_sum_to_one():
     assert together[0] == pytest.approx(total, rel=1e-4)
     every = gru.output(p, np.repeat(state, gru.WORDS, 0), np.arange(gru.WORDS))
     assert np.exp(every).sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_every_training_token_is_fitted(docs, monkeypatch):
+    """The tokens of a round are all training tokens, in however many shards; nothing is sampled or broken off."""
+    seen, fitted = [], lm_scoring.fitted
+
+    def watched(shards, counts):
+        params, tokens = fitted(shards, counts)
+        seen.append((tokens, shards.select("shard").distinct().count()))
+        return params, tokens
+
+    monkeypatch.setattr(lm_scoring, "fitted", watched)
+    monkeypatch.setattr(lm_scoring, "TOKENS", 20_000)
+    total = lm_scoring.score(docs).first().train_tokens
+    assert seen[0][0] == total and seen[0][1] > 1
