@@ -105,10 +105,12 @@ def _(t):
 
     source = t.conversations
     stream = t.spark.readStream.schema(source.schema).parquet(f"{t.folder}/conversations.parquet" + ("" if _is_dir(t) else "*"))
-    name = "seg_" + uuid.uuid4().hex
-    run = segments(stream.select(F.col("role").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("content"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination(600)
-    return t.spark.table(name)
+    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="provenspark-stream-")
+    path = f"{folder.rstrip('/')}/segments-{uuid.uuid4().hex}"
+    found = segments(stream.select(F.col("role").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("content")))
+    run = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()  # until all input is read; raises where the stream fails
+    return t.spark.read.schema(found.schema).parquet(f"{path}/rows")
 
 
 def _is_dir(t) -> bool:

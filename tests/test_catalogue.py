@@ -30,6 +30,17 @@ def test_stream_equals_batch(spark, small):
     assert stream == batch
 
 
+def test_a_slow_stream_is_waited_for(spark, small, monkeypatch):
+    """A wait with a limit that runs out must not pass off what is written so far as the whole; rows come from files, not from the driver."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    found = QUERIES["stream_segments"](spark, small)
+    assert found.count() == spark.read.parquet(f"{small}/conversations.parquet").count()
+    assert found.inputFiles()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
