@@ -65,10 +65,10 @@ def _unit_hashes() -> np.ndarray:
 
 
 def template(column: pa.Array):
-    """(values, kinds, first): token hashes, slot kinds (0: a word) and each text's token range."""
+    """(values, kinds, named, first): token hashes, slot kinds (0: a word), capitalised words that open a sentence, and each text's token range."""
     _, first, starts, ends, raw = word_hashes(column, spans=True)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(len(first), np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(first), np.int64)
     s, e = _trimmed(raw, starts, ends)
     real = ~((e - s == 1) & TABLES.mark[raw[s]])
     real |= raw[s] == ord("%")
@@ -94,25 +94,38 @@ def template(column: pa.Array):
     follows[1:] = number[:-1]
     kinds[(units[at] == values) & follows & ~number] = UNIT
     kept = np.concatenate([[0], np.cumsum(real)])
-    return values[real], kinds[real], kept[first]
+    return values[real], kinds[real], (upper & lower & opens & (kinds == 0))[real], kept[first]
 
 
-def _windows(values: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, usable) of the template windows of that size, by first token."""
+def _windows(values: np.ndarray, kinds: np.ndarray, named: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, usable, kinds) of each reading of the windows of that size, by first token.
+
+    Templates need words that are not slots: LITERALS, or two in an item shorter
+    than WINDOW.  A word that opens a sentence is read as a word and as a name.
+    The last reading is the folded words and values themselves, without slots.
+    """
     marks = mix(np.arange(4, dtype=U64) + U64(77))
-    slots = kinds > 0
-    rolled = windows(np.where(slots, marks[kinds], values), size)
-    words = np.concatenate([[0], np.cumsum(~slots)])
-    return mix(rolled + U64(size)), words[size : size + len(rolled)] - words[: len(rolled)] >= min(LITERALS, max(2, size - 1))
+    for read in (kinds,):
+        slots = read > 0
+        rolled = windows(np.where(slots, marks[read], values), size)
+        words = np.concatenate([[0], np.cumsum(~slots)])
+        usable = words[size : size + len(rolled)] - words[: len(rolled)] >= (LITERALS if size >= WINDOW else 2)
+        if read is not kinds:
+            opens = np.concatenate([[0], np.cumsum(named)])
+            usable &= opens[size : size + len(rolled)] > opens[: len(rolled)]
+        yield mix(rolled + U64(size)), usable, read
+    rolled = windows(values, size)
+    yield mix(rolled + U64(size + 1024)), np.ones(len(rolled), bool), np.zeros_like(kinds)
 
 
-WINDOWS = "id long, size int, h long, pos int, kinds array<tinyint>, slots array<long>"
+WINDOWS = "id long, size int, h long, pos int, typed boolean, offsets array<int>, kinds array<tinyint>, slots array<long>"
+ALIGNED = "doc_id long, item_id long, every array<int>, typed array<int>, slots int, replaced int"
 
 
 def _emit(ids: list, found: list[tuple]) -> pa.RecordBatch:
-    ident, size, h, pos, kinds, slots = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 6
+    ident, size, h, pos, typed, offsets, kinds, slots = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 8
     return pa.RecordBatch.from_arrays(
-        [pa.array(ident, pa.int64()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(kinds, pa.list_(pa.int8())), pa.array(slots, pa.list_(pa.int64()))],
+        [pa.array(ident, pa.int64()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(typed, pa.bool_()), pa.array(offsets, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int8())), pa.array(slots, pa.list_(pa.int64()))],
         names=[f.split()[0] for f in WINDOWS.split(", ")],
     )
 
@@ -124,22 +137,22 @@ def _scan(sizes: list[int] | None, bloom: np.ndarray | None):
         bits = None if bloom is None else np.unpackbits(bloom).astype(bool)
         mask = U64((1 << BLOOM) - 1)
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            values, kinds, first = template(batch.column("text"))
+            values, kinds, named, first = template(batch.column("text"))
             ids, found = batch.column("id").to_pylist(), []
             spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             for size in sizes if sizes is not None else range(1, WINDOW + 1):
-                rolled, usable = _windows(values, kinds, size)
-                if bits is not None:
-                    usable = usable & bits[(rolled & mask).astype(np.int64)] & bits[((rolled >> U64(32)) & mask).astype(np.int64)]
-                hit = np.flatnonzero(usable)
-                owner = np.searchsorted(first, hit, "right") - 1
-                for at, who in zip(hit.tolist(), owner.tolist(), strict=True):
-                    lo, hi = spans[who]
-                    if at + size > hi or (sizes is None and size != min(WINDOW, hi - lo)):
-                        continue
-                    k = kinds[at : at + size]
-                    slot = np.flatnonzero(k)
-                    found.append((ids[who], size, int(rolled[at].view(np.int64)), at - lo, k[slot].tolist(), values[at + slot].view(np.int64).tolist()))
+                for n, (rolled, usable, read) in enumerate(_windows(values, kinds, named, size)):
+                    if bits is not None:
+                        usable = usable & bits[(rolled & mask).astype(np.int64)] & bits[((rolled >> U64(32)) & mask).astype(np.int64)]
+                    hit = np.flatnonzero(usable)
+                    owner = np.searchsorted(first, hit, "right") - 1
+                    for at, who in zip(hit.tolist(), owner.tolist(), strict=True):
+                        lo, hi = spans[who]
+                        if at + size > hi or (sizes is None and size != min(WINDOW, hi - lo)):
+                            continue
+                        k = read[at : at + size]
+                        slot = np.flatnonzero(k)
+                        found.append((ids[who], size, int(rolled[at].view(np.int64)), at - lo, n < 2, slot.tolist(), k[slot].tolist(), values[at + slot].view(np.int64).tolist()))
                 if len(found) > 20_000:
                     yield _emit(ids, found)
                     found = []
@@ -160,13 +173,30 @@ def _bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Item windows of each alignment whose slots are consistent."""
+    for batch in batches:
+        rows = []
+        for doc, item, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pairs = {(p["a"], p["b"]) for w in met for p in w["pairs"]}
+            if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+                continue
+            kept = met
+            rows.append((doc, item, sorted({w["item_pos"] for w in kept}), sorted({w["item_pos"] for w in kept if w["typed"]}), len(pairs), sum(a != b for a, b in pairs)))
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("every", pa.list_(pa.int32())), ("typed", pa.list_(pa.int32())), ("slots", pa.int32()), ("replaced", pa.int32())])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, matched, coverage, slots, replaced, kind): one row per document and leaked item.
 
-    Items of fewer than WINDOW tokens have one window of their own length and
-    need two words that are not slots.  Null or empty texts on either side match
-    nothing; null ids take no part; rows that repeat an id count once; other
-    columns are not read; an empty table gives no rows.
+    Items of fewer than WINDOW tokens have one window of their own length; as a
+    template it needs two words that are not slots.  Windows with fewer words,
+    and copies in another case, meet by their folded words and values.  Coverage
+    is that of all windows or of the template windows, whichever is greater.
+    Null or empty texts on either side match nothing; null ids take no part;
+    rows that repeat an id count once; other columns are not read; an empty
+    table gives no rows.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null")
     own = cut(items.mapInArrow(_scan(None, None), WINDOWS), "item-windows")
@@ -176,19 +206,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bloom = np.bitwise_or.reduce(parts) if parts else np.zeros(1 << (BLOOM - 3), np.uint8)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     seen = texts.mapInArrow(_scan(sizes or [WINDOW], bloom), WINDOWS).withColumnRenamed("id", "doc_id")
-    known = own.select(F.col("id").alias("item_id"), "size", "h", F.col("pos").alias("item_pos"), F.col("kinds").alias("item_kinds"), F.col("slots").alias("item_slots"))
-    met = seen.join(known, ["h", "size"]).where("kinds = item_kinds").dropDuplicates(["doc_id", "item_id", "pos", "item_pos"])
+    known = own.select(F.col("id").alias("item_id"), "size", "h", "typed", F.col("pos").alias("item_pos"), "offsets", F.col("kinds").alias("item_kinds"), F.col("slots").alias("item_slots"))
+    met = seen.drop("offsets").join(known, ["h", "size", "typed"]).where("kinds = item_kinds")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    consistent = aligned.where((distinct("a") == F.size("pairs")) & (distinct("b") == F.size("pairs")))
-    replaced = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
-    found = consistent.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.max(F.size("pairs")).alias("slots"), F.max(replaced).alias("replaced")
-    )
-    total = own.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").cast("int").alias("windows"))
-    out = found.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).where(f"coverage >= {COVER} and matched >= least({LEAST}, windows)")
-    return out.select("doc_id", "item_id", "windows", "matched", "coverage", "slots", "replaced", F.when(F.col("replaced") > 0, "reparameterised").otherwise("exact").alias("kind"))
+    one = F.struct("item_pos", "typed", "offsets", pairs.alias("pairs"))
+    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(one).alias("met"))
+    consistent = aligned.select("doc_id", "item_id", "met").mapInArrow(_agreeing, ALIGNED)
+    places = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    found = consistent.groupBy("doc_id", "item_id").agg(places("every"), places("typed"), F.max("slots").alias("slots"), F.max("replaced").alias("replaced"))
+    count = lambda c: F.countDistinct(c).cast("int")
+    total = own.groupBy(F.col("id").alias("item_id")).agg(count(F.col("pos")).alias("n_every"), count(F.when(F.col("typed"), F.col("pos"))).alias("n_typed"))
+    # a re-parameterised copy cannot hold windows that have no template, so templates also count by themselves
+    enough = lambda k, n: F.col(n).isNotNull() & (F.col(n) > 0) & (F.col(k) / F.nullif(F.col(n), F.lit(0)) >= COVER) & (F.col(k) >= F.least(F.lit(LEAST), F.col(n)))
+    way = lambda k, n: F.when(enough(k, n), F.struct((F.col(k) / F.nullif(F.col(n), F.lit(0))).alias("coverage"), F.col(k).alias("matched"), F.col(n).alias("windows")))
+    out = found.join(total, "item_id").withColumn("best", F.greatest(way("every", "n_every"), way("typed", "n_typed"))).where("best is not null")
+    kind = F.when(F.col("replaced") > 0, "reparameterised").otherwise("exact").alias("kind")
+    return out.select("doc_id", "item_id", "best.windows", "best.matched", "best.coverage", "slots", "replaced", kind)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,3 +50,14 @@ def test_planted_passages(spark, docs, small):
         b = squeeze(next(r.text for r in items.where(f"item_id = {j}").collect()))
         grams = {tuple(a[k : k + 8]) for k in range(len(a))}
         assert sum(tuple(b[k : k + 8]) in grams for k in range(len(b) - 7)) >= 0.4 * (len(b) - 7)
+
+
+def test_items_of_few_words(spark, make):
+    """Windows with few literals meet by their values; templates still count by themselves."""
+    items = [(1, "Calculate 12 + 7 * 3 - 4 / 2"), (2, "Zanzibar"), (3, "mix 3 cups into 5"), (4, "Ada Bo Cy Di Eve Flo Gus Hal Ida Jon")]
+    items.append((5, "Each tray holds exactly 12 ripe plums while baskets hold 9 and the codes are 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23"))
+    held = [(i, f"{CLEAN} {t} {CLEAN}") for i, t in items]
+    got = found(spark, make, [*held, (6, CLEAN), (7, f"{CLEAN} mix 8 cups into 9"), (8, f"{CLEAN} Calculate 5 + 9")], items)
+    assert {(i, i) for i, _ in items} <= set(got) and all(got[i, i] == "exact" for i, _ in items)
+    assert got[7, 3] == "reparameterised"
+    assert {d for d, _ in got} == {1, 2, 3, 4, 5, 7}
