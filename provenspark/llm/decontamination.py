@@ -105,7 +105,7 @@ def _windows(values: np.ndarray, kinds: np.ndarray, named: np.ndarray, size: int
     The last reading is the folded words and values themselves, without slots.
     """
     marks = mix(np.arange(4, dtype=U64) + U64(77))
-    for read in (kinds,):
+    for read in (kinds, np.where(named, np.int8(NAME), kinds)):
         slots = read > 0
         rolled = windows(np.where(slots, marks[read], values), size)
         words = np.concatenate([[0], np.cumsum(~slots)])

@@ -61,3 +61,13 @@ def test_items_of_few_words(spark, make):
     assert {(i, i) for i, _ in items} <= set(got) and all(got[i, i] == "exact" for i, _ in items)
     assert got[7, 3] == "reparameterised"
     assert {d for d, _ in got} == {1, 2, 3, 4, 5, 7}
+
+
+def test_a_copy_in_another_case(spark, make):
+    names = "yesterday Anna Bell met Carl Dorn near Essen Forum and then Greta Holm left for Ilmenau Jena with Karl Lund and Mia Nord"
+    assert found(spark, make, [(1, names.upper()), (2, names.lower()), (3, CLEAN)], [(1, names)]) == {(1, 1): "exact", (2, 1): "exact"}
+
+
+def test_names_that_open_a_sentence(spark, make):
+    item = "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
+    assert found(spark, make, [(1, item.replace("Tom", "Ann")), (2, f"{CLEAN} {item.replace('Tom', 'Ann').replace('3', '8')}"), (3, CLEAN)], [(1, item)]) == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
