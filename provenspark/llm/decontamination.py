@@ -5,8 +5,9 @@ placeholders and every other word is folded; windows of that template are
 hashed.  A fixed-size Bloom filter of the benchmark's windows thins the
 documents' windows where they are made; a hash join on the window finds items.
 Windows on one diagonal (document position less item position) form an
-alignment, and its slots must be consistent: one item value stands for one
-document value and the reverse.  Consistent alignments cover an item's windows;
+alignment, in which one item value stands for one document value, that of most
+of its places: windows off it are dropped, and the alignment where no value has
+half of the places.  What is left covers an item's windows;
 a document leaks an item from a coverage of ``COVER`` on, exactly where all slot
 values agree, re-parameterised where some were replaced.
 """
@@ -178,10 +179,16 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, item, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pairs = {(p["a"], p["b"]) for w in met for p in w["pairs"]}
-            if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+            votes: dict[int, dict[int, set[int]]] = {}
+            for w in met:
+                for at, p in zip(w["offsets"], w["pairs"], strict=True):
+                    votes.setdefault(p["a"], {}).setdefault(p["b"], set()).add(w["item_pos"] + at)
+            # an item value stands for the document value at most of its places, its own one first; with fewer than half of them it has none
+            mapped = {a: min(by, key=lambda b: (-len(by[b]), b != a, b)) for a, by in votes.items()}
+            if any(2 * len(votes[a][b]) < len(set().union(*votes[a].values())) for a, b in mapped.items()):
                 continue
-            kept = met
+            pairs = {(a, b) for a, by in votes.items() for b in by}
+            kept = [w for w in met if all(mapped[p["a"]] == p["b"] for p in w["pairs"])]
             rows.append((doc, item, sorted({w["item_pos"] for w in kept}), sorted({w["item_pos"] for w in kept if w["typed"]}), len(pairs), sum(a != b for a, b in pairs)))
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("every", pa.list_(pa.int32())), ("typed", pa.list_(pa.int32())), ("slots", pa.int32()), ("replaced", pa.int32())])
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)

@@ -71,3 +71,11 @@ def test_a_copy_in_another_case(spark, make):
 def test_names_that_open_a_sentence(spark, make):
     item = "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
     assert found(spark, make, [(1, item.replace("Tom", "Ann")), (2, f"{CLEAN} {item.replace('Tom', 'Ann').replace('3', '8')}"), (3, CLEAN)], [(1, item)]) == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
+
+
+def test_an_edited_slot_costs_its_windows_only(spark, make):
+    one = ITEM.replace("sells 12 sacks", "sells 13 sacks")
+    item = "The boy carries 3 apples and 5 pears up the long hill before he sells 3 apples and 5 pears to the old man."
+    merged = item.replace("3", "4").replace("5", "4")
+    got = found(spark, make, [(1, f"{CLEAN} {one}"), (2, f"{CLEAN} {merged}"), (3, CLEAN)], [(1, ITEM), (2, item)])
+    assert got == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
