@@ -119,14 +119,14 @@ def _windows(values: np.ndarray, kinds: np.ndarray, named: np.ndarray, size: int
     yield mix(rolled + U64(size + 1024)), np.ones(len(rolled), bool), np.zeros_like(kinds)
 
 
-WINDOWS = "id long, size int, h long, pos int, typed boolean, offsets array<int>, kinds array<tinyint>, slots array<long>"
+WINDOWS = "id long, size int, h long, pos int, typed boolean, firm boolean, offsets array<int>, kinds array<tinyint>, slots array<long>"
 ALIGNED = "doc_id long, item_id long, every array<int>, typed array<int>, slots int, replaced int"
 
 
 def _emit(ids: list, found: list[tuple]) -> pa.RecordBatch:
-    ident, size, h, pos, typed, offsets, kinds, slots = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 8
+    ident, size, h, pos, typed, firm, offsets, kinds, slots = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 9
     return pa.RecordBatch.from_arrays(
-        [pa.array(ident, pa.int64()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(typed, pa.bool_()), pa.array(offsets, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int8())), pa.array(slots, pa.list_(pa.int64()))],
+        [pa.array(ident, pa.int64()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.array(typed, pa.bool_()), pa.array(firm, pa.bool_()), pa.array(offsets, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int8())), pa.array(slots, pa.list_(pa.int64()))],
         names=[f.split()[0] for f in WINDOWS.split(", ")],
     )
 
@@ -153,7 +153,7 @@ def _scan(sizes: list[int] | None, bloom: np.ndarray | None):
                             continue
                         k = read[at : at + size]
                         slot = np.flatnonzero(k)
-                        found.append((ids[who], size, int(rolled[at].view(np.int64)), at - lo, n < 2, slot.tolist(), k[slot].tolist(), values[at + slot].view(np.int64).tolist()))
+                        found.append((ids[who], size, int(rolled[at].view(np.int64)), at - lo, n < 2, n == 0, slot.tolist(), k[slot].tolist(), values[at + slot].view(np.int64).tolist()))
                 if len(found) > 20_000:
                     yield _emit(ids, found)
                     found = []
@@ -179,13 +179,16 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, item, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            votes: dict[int, dict[int, set[int]]] = {}
+            firm: dict[int, dict[int, set[int]]] = {}
+            loose: dict[int, dict[int, set[int]]] = {}
             for w in met:
                 for at, p in zip(w["offsets"], w["pairs"], strict=True):
-                    votes.setdefault(p["a"], {}).setdefault(p["b"], set()).add(w["item_pos"] + at)
-            # an item value stands for the document value at most of its places, its own one first; with fewer than half of them it has none
+                    (firm if w["firm"] else loose).setdefault(p["a"], {}).setdefault(p["b"], set()).add(w["item_pos"] + at)
+            votes = loose | firm
+            # an item value stands for the document value at most of its places, its own one first; with fewer than half of them it has none.
+            # Words that only open sentences may not be names: they cost their windows alone
             mapped = {a: min(by, key=lambda b: (-len(by[b]), b != a, b)) for a, by in votes.items()}
-            if any(2 * len(votes[a][b]) < len(set().union(*votes[a].values())) for a, b in mapped.items()):
+            if any(2 * len(votes[a][b]) < len(set().union(*votes[a].values())) for a, b in mapped.items() if a in firm):
                 continue
             pairs = {(a, b) for a, by in votes.items() for b in by}
             kept = [w for w in met if all(mapped[p["a"]] == p["b"] for p in w["pairs"])]
@@ -213,10 +216,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bloom = np.bitwise_or.reduce(parts) if parts else np.zeros(1 << (BLOOM - 3), np.uint8)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     seen = texts.mapInArrow(_scan(sizes or [WINDOW], bloom), WINDOWS).withColumnRenamed("id", "doc_id")
-    known = own.select(F.col("id").alias("item_id"), "size", "h", "typed", F.col("pos").alias("item_pos"), "offsets", F.col("kinds").alias("item_kinds"), F.col("slots").alias("item_slots"))
+    known = own.select(F.col("id").alias("item_id"), "size", "h", "typed", F.col("firm").alias("item_firm"), F.col("pos").alias("item_pos"), "offsets", F.col("kinds").alias("item_kinds"), F.col("slots").alias("item_slots"))
     met = seen.drop("offsets").join(known, ["h", "size", "typed"]).where("kinds = item_kinds")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    one = F.struct("item_pos", "typed", "offsets", pairs.alias("pairs"))
+    one = F.struct("item_pos", "typed", (F.col("firm") & F.col("item_firm")).alias("firm"), "offsets", pairs.alias("pairs"))
     aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(one).alias("met"))
     consistent = aligned.select("doc_id", "item_id", "met").mapInArrow(_agreeing, ALIGNED)
     places = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
