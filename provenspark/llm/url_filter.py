@@ -4,7 +4,8 @@ Outcomes of labelled pages are counted by host.  A beta-binomial prior is
 passed down from all hosts to the public suffix, the registered domain and the
 host: at each level the parent's posterior mean is the prior mean and the prior
 strength comes from the moments of the children's rates.  A host is blocked
-where the lower bound of its posterior bad rate is above ``most``.
+where the lower bound of its posterior bad rate is above ``most``; a host
+without an outcome is judged by its domain, else by its suffix.
 
 Counts are aggregated map-side, so a host with a third of all pages costs one
 row per task; levels join on aggregates and only the last join touches pages.
@@ -91,33 +92,49 @@ def _prior(children: DataFrame, mean: Column) -> DataFrame:
     return children.join(F.broadcast(spread))  # one row
 
 
-def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(host, n, k, mean, bound) from outcomes (host string, bad int): posterior bad rate of every labelled host.
+def _posterior(level: DataFrame) -> tuple[Column, Column]:
+    """(mean, bound) of a level's rows (n, k, up, m)."""
+    a, b = F.col("m") * F.col("up") + F.col("k"), F.col("m") * (1 - F.col("up")) + F.col("n") - F.col("k")
+    mean = a / (a + b)
+    return mean.alias("mean"), (mean - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bound")
+
+
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> dict[str, DataFrame]:
+    """By level (host, domain, suffix): (its name, n, k, mean, bound), the posterior bad rates of all names with an outcome.
 
     Null hosts or outcomes are left out; an empty table gives no rows.
     """
     hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
     hosts = hosts.select("*", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
     total = hosts.groupBy().agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("up"))
-    by_suffix = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(total))
-    by_suffix = _prior(by_suffix, F.col("up")).select("suffix", ((F.col("m") * F.col("up") + F.col("k")) / (F.col("m") + F.col("n"))).alias("up"))
-    by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(by_suffix, "suffix")
-    by_domain = _prior(by_domain, F.col("up")).select("domain", ((F.col("m") * F.col("up") + F.col("k")) / (F.col("m") + F.col("n"))).alias("up"))
-    a, b = F.col("m") * F.col("up") + F.col("k"), F.col("m") * (1 - F.col("up")) + F.col("n") - F.col("k")
-    mean = a / (a + b)
-    bound = mean - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return _prior(hosts.join(by_domain, "domain"), F.col("up")).select("host", "n", "k", mean.alias("mean"), bound.alias("bound"))
+    by_suffix = _prior(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(total)), F.col("up"))
+    by_suffix = by_suffix.select("suffix", "n", "k", *_posterior(by_suffix))
+    by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(by_suffix.select("suffix", F.col("mean").alias("up")), "suffix")
+    by_domain = _prior(by_domain, F.col("up"))
+    by_domain = by_domain.select("domain", "n", "k", *_posterior(by_domain))
+    by_host = _prior(hosts.join(by_domain.select("domain", F.col("mean").alias("up")), "domain"), F.col("up"))
+    return {"host": by_host.select("host", "n", "k", *_posterior(by_host)), "domain": by_domain, "suffix": by_suffix}
+
+
+def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, n, k, mean, bound) from outcomes (host string, bad int): posterior bad rate of every labelled host."""
+    return reputations(outcomes, suffixes)["host"]
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, most: float = MOST) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bound) for every row of pages.
 
     A null url or one without :// has an empty host and path.  A rule's action
-    stands; else a page is blocked where its host's bound is above most; hosts
-    without a labelled page are allowed.  Null and repeated ids are judged row
+    stands; else a page is blocked where its host's bound is above most, or that
+    of its domain or suffix where the host or domain has no labelled page; pages
+    of a suffix without any are allowed.  Null and repeated ids are judged row
     for row; other columns are not read; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = with_rules(rows, rules).join(host_reputation(outcomes).select("host", F.col("mean").alias("bad_rate"), "bound"), "host", "left")
+    names = rows.select("host").distinct().select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    for level, known in reputations(outcomes).items():
+        names = names.join(known.select(level, F.struct("mean", "bound").alias(f"by_{level}")), level, "left")
+    names = names.select("host", F.coalesce("by_host", "by_domain", "by_suffix").alias("by")).select("host", F.col("by.mean").alias("bad_rate"), F.col("by.bound").alias("bound"))
+    judged = with_rules(rows, rules).join(names, "host", "left")
     verdict = F.coalesce("action", F.when(F.col("bound") > most, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_rate", "bound")

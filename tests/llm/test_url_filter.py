@@ -47,6 +47,15 @@ def test_shrinkage(spark):
     assert rep["few.org"].bound < rep["bad.org"].bound
 
 
+def test_hosts_without_outcomes_follow_domain_and_suffix(spark):
+    rows = [(f"s{i}.evil.org", 1) for i in range(40) for _ in range(3)] + [(f"t{i}.good.org", 0) for i in range(40) for _ in range(3)] + [(f"u{i}.foul.bad", 1) for i in range(60)]
+    urls = [(1, "http://new.evil.org/a", "block"), (2, "http://new.good.org/a", "allow"), (3, "http://www.other.bad/a", "block"), (4, "http://www.other.xyz/a", "allow")]
+    asked = spark.createDataFrame([(i, u, "h", "r") for i, u, _ in urls], "page_id long, url string, host string, rule string")
+    got = {r.page_id: r for r in U.judge(asked, spark.createDataFrame(rows, "host string, bad int"), rules=()).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {i: v for i, _, v in urls}
+    assert got[4].bound is None and got[1].bad_rate > got[2].bad_rate
+
+
 def test_edges(spark):
     none = outcomes(spark).limit(0)
     assert {r.verdict for r in U.judge(pages(spark), none).where("rule is null").collect()} == {"allow"}
