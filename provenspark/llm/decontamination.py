@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenspark.llm.shared import cut
-from provenspark.llm.words import TABLES, U64, mix, slices, windows, word_hashes
+from provenspark.llm.words import TABLES, U64, Folded, mix, slices, span_hashes, windows, word_hashes
 
 #: Tokens of a window, words in it that are not slots at least, covered part of an item's windows, and covered windows at least (or all, of an item with fewer).
 WINDOW, LITERALS, COVER, LEAST = 8, 4, 0.3, 3
@@ -51,12 +51,8 @@ def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 20), "left")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        TABLES.upto(hi - lo)
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(TABLES.byte[raw[lo:hi]] * TABLES.power[: hi - lo], out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix((sums[e] - sums[s]) * TABLES.inverse[s] + (e - s).astype(U64))
+        lo = int(starts[at])
+        out[at:to] = span_hashes(Folded(raw[lo : int(ends[to - 1])]), starts[at:to] - lo, ends[at:to] - lo)
         at = to
     return out
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of the model: 0 is any other word, the last one a text's end.
-WORDS, CLASSES, STATE, WINDOW = 1024, 32, 16, 32
+WORDS, CLASSES, STATE, WINDOW = 4096, 64, 24, 32
 PER = WORDS // CLASSES
-#: Documents side by side in training, passes, and Adam's rate.
-SIDE, EPOCHS, RATE = 64, 3, 0.01
+#: Lanes side by side in training, rounds that share the documents out, and Adam's rate.
+SIDE, ROUNDS, RATE = 128, 4, 0.02
 NAMES = ("embed", "u", "b_in", "b_state", "class_w", "class_b", "word_w", "word_b")
 
 
@@ -50,7 +50,7 @@ def output(p: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural-log probability of each target, of the class alone for id 0."""
     kind = np.where(targets > 0, targets // PER, CLASSES)
     out = _soft(states @ p["class_w"] + p["class_b"], kind)
-    order = np.argsort(kind.astype(np.int8), kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         rows = order[ends[c] : ends[c + 1]]
@@ -93,72 +93,78 @@ def score(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """(loss sum, gradients, last state) of one window of (time, documents) arrays; masked steps keep the state."""
+def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """(the softmax less one at each row's column, the sum of the negative logs there)."""
+    logits -= logits.max(axis=1, keepdims=True)
+    q = np.exp(logits, out=logits)
+    q /= q.sum(axis=1, keepdims=True)
+    rows = np.arange(len(at))
+    loss = -np.log(np.maximum(q[rows, at], 1e-30)).sum()
+    q[rows, at] -= 1
+    return q, loss
+
+
+def gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, opens: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray, np.ndarray]:
+    """(loss sum, gradients, ids read, last state) of one window of (time, lanes) arrays.
+
+    A document opens where opens is set: the state before it is zero.  A target
+    of -1 counts for nothing.  The embedding's gradient has a row for each of
+    the ids read.
+    """
     h, (steps, n) = STATE, inputs.shape
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    kept, hs, s = [], [], state
-    read = p["embed"] + p["b_in"]
+    g = {"u": np.zeros_like(p["u"]), "b_state": np.zeros_like(p["b_state"]), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+    kept, hs, s = [], np.empty((steps, n, h), p["u"].dtype), state
+    read = (p["embed"][inputs.ravel()] + p["b_in"]).reshape(steps, n, 3 * h)
     for t in range(steps):
-        x = read[inputs[t]]
-        a = s @ p["u"] + p["b_state"]
+        s = np.where(opens[t][:, None], 0, s)
+        x, a = read[t], s @ p["u"] + p["b_state"]
         gates = _sigmoid(x[:, : 2 * h] + a[:, : 2 * h])
         new = np.tanh(x[:, 2 * h :] + gates[:, h:] * a[:, 2 * h :])
-        z = gates[:, :h]
-        moved = new + z * (s - new)
-        m = mask[t][:, None]
-        kept.append((s, a, gates, new, m))
-        s = np.where(m, moved, s)
-        hs.append(s)
-    rows = np.flatnonzero(mask.ravel())
-    states = np.concatenate(hs)[rows]
+        kept.append((s, a, gates, new))
+        s = new + gates[:, :h] * (s - new)
+        hs[t] = s
+    rows = np.flatnonzero(targets.ravel() >= 0)
     y = targets.ravel()[rows]
-    kind = np.where(y > 0, y // PER, CLASSES)
-    logits = states @ p["class_w"] + p["class_b"]
-    q = np.exp(logits - logits.max(axis=1, keepdims=True))
-    q /= q.sum(axis=1, keepdims=True)
-    loss = -np.log(np.maximum(q[np.arange(len(y)), kind], 1e-30)).sum()
-    q[np.arange(len(y)), kind] -= 1
+    kind = np.where(y > 0, y // PER, CLASSES).astype(np.int16)
+    order = np.argsort(kind, kind="stable")  # rows of a class side by side
+    rows, y, kind = rows[order], y[order], kind[order]
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
+    states = hs.reshape(steps * n, h)[rows]
+    q, loss = _softmax(states @ p["class_w"] + p["class_b"], kind)
     g["class_w"], g["class_b"] = states.T @ q, q.sum(axis=0)
     ds = q @ p["class_w"].T
-    for c in np.unique(kind):
-        if c == CLASSES:
-            continue
-        own = np.flatnonzero(kind == c)
-        logits = states[own] @ p["word_w"][c] + p["word_b"][c]
-        q = np.exp(logits - logits.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        w = y[own] % PER
-        loss -= np.log(np.maximum(q[np.arange(len(own)), w], 1e-30)).sum()
-        q[np.arange(len(own)), w] -= 1
-        g["word_w"][c], g["word_b"][c] = states[own].T @ q, q.sum(axis=0)
-        ds[own] += q @ p["word_w"][c].T
-    every = np.zeros((steps * n, h), np.float32)
+    for c in range(CLASSES):
+        own = slice(ends[c], ends[c + 1])
+        if ends[c] < ends[c + 1]:
+            q, more = _softmax(states[own] @ p["word_w"][c] + p["word_b"][c], y[own] % PER)
+            loss += more
+            g["word_w"][c], g["word_b"][c] = states[own].T @ q, q.sum(axis=0)
+            ds[own] += q @ p["word_w"][c].T
+    every = np.zeros((steps * n, h), hs.dtype)
     every[rows] = ds
     every = every.reshape(steps, n, h)
-    back = np.zeros((n, h), np.float32)
-    read_by = np.zeros((steps, n, 3 * h), p["embed"].dtype)
+    back = np.zeros((n, h), hs.dtype)
+    read_by, state_by = np.empty((steps, n, 3 * h), hs.dtype), np.empty((steps, n, 3 * h), hs.dtype)
     for t in reversed(range(steps)):
-        s, a, gates, new, m = kept[t]
-        d = back + every[t]
-        moved = d * m
+        s, a, gates, new = kept[t]
         z, r = gates[:, :h], gates[:, h:]
-        dn = moved * (1 - z) * (1 - new * new)
-        dz = moved * (s - new) * z * (1 - z)
-        dr = dn * a[:, 2 * h :] * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        read_by[t] = np.concatenate([dz, dr, dn], axis=1)
-        g["u"] += s.T @ da
-        g["b_state"] += da.sum(axis=0)
-        back = moved * z + da @ p["u"].T + d * ~m
+        d = back + every[t]
+        dn = d * (1 - z) * (1 - new * new)
+        read_by[t, :, :h] = d * (s - new) * z * (1 - z)
+        read_by[t, :, h : 2 * h] = dn * a[:, 2 * h :] * r * (1 - r)
+        read_by[t, :, 2 * h :] = dn
+        state_by[t] = read_by[t]
+        state_by[t, :, 2 * h :] *= r
+        back = np.where(opens[t][:, None], 0, d * z + state_by[t] @ p["u"].T)
+    before = np.concatenate([k[0] for k in kept])
+    g["u"], g["b_state"] = before.T @ state_by.reshape(-1, 3 * h), state_by.sum(axis=(0, 1))
     dx, ids = read_by.reshape(steps * n, 3 * h), inputs.ravel()
-    g["b_in"] += dx.sum(axis=0)
-    if len(ids):
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g["embed"][ids[at]] += np.add.reduceat(dx[order], at, axis=0)
-    return float(loss), g, s if not steps else hs[-1]
+    g["b_in"] = dx.sum(axis=0)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    g["embed"] = np.add.reduceat(dx[order], at, axis=0)
+    return float(loss), g, ids[at], hs[-1]
 
 
 def start(counts: np.ndarray, seed: int = 3) -> dict:
@@ -193,40 +199,42 @@ def shaped(row: np.ndarray, done: int) -> dict:
     return out
 
 
-def train(state: dict, documents: list[np.ndarray], epoch: int, seed: int = 3) -> tuple[dict, int]:
-    """(state, tokens) after one whole pass over the documents, each read to its end."""
+def lanes(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, opens) by (time, lane): the documents end to end, cut into SIDE equal lanes.
+
+    A lane that begins inside a document goes on from a zero state; no token is left out.
+    """
+    stream = np.concatenate([np.zeros(0, np.int64), *documents])
+    opens = np.zeros(len(stream), bool)
+    opens[np.cumsum([0, *map(len, documents)])[:-1]] = True
+    inputs = np.where(opens, WORDS, np.concatenate([[WORDS], stream[:-1]]))
+    most = -(-len(stream) // SIDE)
+    fill = (0, SIDE * most - len(stream))
+    shape = lambda a, v: np.ascontiguousarray(np.pad(a, fill, constant_values=v).reshape(SIDE, most).T)
+    return shape(inputs, WORDS), shape(stream, -1), shape(opens, True)
+
+
+def train(state: dict, documents: list[np.ndarray], turn: int, seed: int = 3) -> tuple[dict, int]:
+    """(state, tokens) after one whole pass over the documents, in random order, each with its end."""
     p, first, second = ({k: v.copy() for k, v in state[part].items()} for part in ("p", "first", "second"))
-    done, tokens, random = state["done"], 0, np.random.default_rng([seed, epoch])
-    order = random.permutation(len(documents))
-    pools = [sorted(order[i : i + 8 * SIDE], key=lambda d: len(documents[d])) for i in range(0, len(order), 8 * SIDE)]
-    batches = [pool[i : i + SIDE] for pool in pools for i in range(0, len(pool), SIDE)]
-    for k in random.permutation(len(batches)):
-        docs = [documents[d] for d in batches[k]]  # by length, so those that have ended come first
-        most = max(map(len, docs))
-        held = np.zeros((len(docs), STATE), np.float32)
-        before = np.full(len(docs), WORDS)
-        for at in range(0, most, WINDOW):
-            over = sum(len(d) <= at for d in docs)
-            docs, held, before = docs[over:], held[over:], before[over:]
-            parts = [d[at : at + WINDOW] for d in docs]
-            n, steps = len(parts), max(map(len, parts))
-            y, mask = np.zeros((steps, n), np.int64), np.zeros((steps, n), bool)
-            for j, part in enumerate(parts):
-                y[: len(part), j] = part
-                mask[: len(part), j] = True
-            x = np.concatenate([before[None], y[:-1]])
-            _, g, held = gradients(p, x, y, mask, held)
-            before = y[-1]
-            rows = int(mask.sum())
-            tokens += rows
-            done += 1
-            g["b_state"][2 * STATE :] = 0
-            norm = np.sqrt(sum(float(v.ravel() @ v.ravel()) for v in g.values())) / rows
-            scale = min(1.0, 1.0 / max(norm, 1e-12)) / rows
-            rate = RATE * 0.5**epoch * np.sqrt(1 - 0.999**done) / (1 - 0.9**done)
-            for name in NAMES:
-                v = g[name] * np.float32(scale)
-                first[name] += np.float32(0.1) * (v - first[name])
-                second[name] += np.float32(0.001) * (v * v - second[name])
-                p[name] -= np.float32(rate) * first[name] / (np.sqrt(second[name]) + np.float32(1e-8))
+    done, tokens = state["done"], 0
+    order = np.random.default_rng([seed, turn]).permutation(len(documents))
+    inputs, targets, opens = lanes([documents[d] for d in order])
+    held = np.zeros((SIDE, STATE), np.float32)
+    for at in range(0, len(inputs), WINDOW):
+        x, y, o = (a[at : at + WINDOW] for a in (inputs, targets, opens))
+        _, g, read, held = gradients(p, x, y, o, held)
+        rows = int((y >= 0).sum())
+        tokens += rows
+        done += 1
+        g["b_state"][2 * STATE :] = 0
+        norm = np.sqrt(sum(float(v.ravel() @ v.ravel()) for v in g.values())) / rows
+        scale = min(1.0, 1.0 / max(norm, 1e-12)) / rows
+        rate = np.float32(RATE * 0.6**turn * np.sqrt(1 - 0.999**done) / (1 - 0.9**done))
+        for name in NAMES:
+            v, own = g[name] * np.float32(scale), read if name == "embed" else slice(None)  # embeddings not read stay as they are
+            m = first[name][own] + np.float32(0.1) * (v - first[name][own])
+            w = second[name][own] + np.float32(0.001) * (v * v - second[name][own])
+            first[name][own], second[name][own] = m, w
+            p[name][own] -= rate * m / (np.sqrt(w) + np.float32(1e-8))
     return {"p": p, "first": first, "second": second, "done": done}, tokens

@@ -4,9 +4,10 @@
    summed in the worker, then by one shuffle).  The table goes to the shared
    folder and grows with the corpus.
 2. The ``WORDS`` - 2 most frequent words get model ids; the recurrent model is
-   fitted on every training document, whole.  Documents are dealt by hash into
-   shards of about ``TOKENS`` tokens; in each round every shard is passed over
-   from the same parameters, and the results are averaged by tokens.
+   fitted on every training document, whole, in one pass.  Documents are dealt
+   by hash into shards of about ``TOKENS`` tokens, and shards into rounds; the
+   shards of a round are passed over from the same parameters, the results are
+   averaged by tokens, and the next round goes on from there.
 3. One pass scores every document: counts of up to ``FREQUENT`` words go out
    with the tasks, every other word of a document is listed beside its row.
 4. Listed words meet the count table in a hash join, are summed by document
@@ -30,9 +31,9 @@ from provenspark.llm.shared import cut, held_out, numbers
 from provenspark.llm.words import U64, mix, slices, word_hashes
 
 #: Training tokens of a shard, about; words whose counts go out with the tasks at most.
-TOKENS, FREQUENT = 600_000, 400_000
-#: Tasks that add up the states of a round.
-ADDERS = 8
+TOKENS, FREQUENT = 400_000, 400_000
+#: Sums of a round's states that reach the driver.
+ADDERS = 4
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 1_500_000
 END = mix(np.array([0x5EED], dtype=U64))[0]
@@ -91,7 +92,7 @@ def _ids(table: Frequent):
             hashes, first = word_hashes(batch.column("text"))
             ids = table.find(hashes)[2]
             out = [np.append(ids[lo:hi], gru.WORDS - 1).astype(np.int16).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(out, pa.binary())], names=["shard", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("shard"), pa.array(out, pa.binary())], names=["turn", "shard", "ids"])
 
     return run
 
@@ -99,43 +100,49 @@ def _ids(table: Frequent):
 STATES = "tokens long, done long, state binary"
 
 
-def _states(tokens: int, done: int, row: np.ndarray) -> list[pa.Array]:
-    return [pa.array([tokens], pa.int64()), pa.array([done], pa.int64()), pa.array([row.tobytes()], pa.binary())]
+def _states(tokens: int, done: int, row: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([done], pa.int64()), pa.array([row.astype(np.float32).tobytes()], pa.binary())], names=["tokens", "done", "state"])
 
 
-def _pass(state: dict, epoch: int):
-    """One shard's state after a pass, weighted by its tokens."""
+def _pass(state: dict, turn: int):
+    """The token-weighted mean of the states after a pass over each shard of the partition."""
 
-    def run(shard: pa.Table) -> pa.Table:
-        texts = [np.frombuffer(b, np.int16).astype(np.int64) for b in sorted(shard.column("ids").to_pylist())]
-        after, tokens = gru.train(state, texts, epoch)
-        return pa.table(_states(tokens, after["done"], gru.flat(after) * tokens), names=["tokens", "done", "state"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                shards.setdefault(shard, []).append(ids)
+        tokens, done, total = 0, 0, 0.0
+        for shard in sorted(shards):
+            after, n = gru.train(state, [np.frombuffer(b, np.int16).astype(np.int64) for b in sorted(shards.pop(shard))], turn)
+            tokens, done, total = tokens + n, max(done, after["done"]), total + gru.flat(after) * n
+        if tokens:
+            yield _states(tokens, done, total / tokens)
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All states of a task added up."""
-    tokens, done, total = 0, 0, None
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token-weighted mean of a task's states."""
+    tokens, done, total = 0, 0, 0.0
     for batch in batches:
         for t, d, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = np.frombuffer(row, np.float64)
-            tokens, done, total = tokens + t, max(done, d), row if total is None else total + row
-    if total is not None:
-        yield pa.RecordBatch.from_arrays(_states(tokens, done, total), names=["tokens", "done", "state"])
+            tokens, done, total = tokens + t, max(done, d), total + np.frombuffer(row, np.float32).astype(np.float64) * t
+    if tokens:
+        yield _states(tokens, done, total / tokens)
 
 
-def fitted(shards: DataFrame, counts: np.ndarray) -> tuple[dict, int]:
-    """(parameters, tokens of a round) from shards (shard, ids): EPOCHS rounds, each a pass over all of them."""
+def fitted(shards: DataFrame, counts: np.ndarray, most: int) -> tuple[dict, int]:
+    """(parameters, tokens) after ROUNDS rounds over shards (turn, shard, ids); most: shards of a round at most."""
     state, tokens = gru.start(counts), 0
-    for epoch in range(gru.EPOCHS):
-        sums = shards.groupBy("shard").applyInArrow(_pass(state, epoch), STATES).mapInArrow(_added, STATES)
-        found = sums.repartition(ADDERS).mapInArrow(_added, STATES).collect()  # at most ADDERS rows
-        if not found:
-            break
-        tokens = sum(r["tokens"] for r in found)
-        row = sum(np.frombuffer(bytes(r["state"]), np.float64) for r in found)
-        state = gru.shaped(row / tokens, max(r["done"] for r in found))
+    for turn in range(gru.ROUNDS):
+        of_turn = shards.where(F.col("turn") == turn).select("shard", "ids").repartitionById(most, "shard")
+        means = of_turn.mapInArrow(_pass(state, turn), STATES).repartition(max(ADDERS, int(most**0.5))).mapInArrow(_mean, STATES)
+        found = means.repartition(ADDERS).mapInArrow(_mean, STATES).collect()  # at most ADDERS rows
+        if found:
+            own = sum(r["tokens"] for r in found)
+            tokens += own
+            state = gru.shaped(sum(np.frombuffer(bytes(r["state"]), np.float32).astype(np.float64) * r["tokens"] for r in found) / own, max(r["done"] for r in found))
     return state["p"], tokens
 
 
@@ -227,14 +234,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ids[order] = np.arange(1, len(order) + 1)
     table = Frequent(keys, counts, ids)
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-n // TOKENS)))).alias("shard")
-    shards = cut(training.select(shard, "text").mapInArrow(_ids(Frequent(keys[order], counts[order], ids[order])), "shard long, ids binary"), "model-ids")
+    most = max(1, -(-n // (TOKENS * gru.ROUNDS)))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(most * gru.ROUNDS))
+    dealt = training.select(F.pmod(place, F.lit(gru.ROUNDS)).cast("int").alias("turn"), F.floor(place / gru.ROUNDS).cast("int").alias("shard"), "text")
+    shards = cut(dealt.mapInArrow(_ids(Frequent(keys[order], counts[order], ids[order])), "turn int, shard int, ids binary"), "model-ids", by="turn")
     by_id = np.zeros(gru.WORDS, np.int64)
     by_id[ids[order]] = counts[order]
     by_id[gru.WORDS - 1] = end_count
     other_tokens, other_words = n - int(by_id.sum()), v - len(order) - (end_count > 0)
     by_id[0] = max(1, other_tokens)
-    params, _ = fitted(shards, by_id)
+    params, _ = fitted(shards, by_id, most)
 
     main = cut(rows.mapInArrow(_rows(table, end_count, params), ROWS), "scored")
     listed = main.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select("row", F.col("x.hashes").alias("h"), F.col("x.counts").alias("k"))

@@ -14,9 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own where that is unset and all tasks run in this process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("provenspark.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="provenspark-")
         spark.conf.set("provenspark.shared.dir", found)
     return found.rstrip("/")
@@ -27,11 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there and any executor can be lost."""
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder (in folders by that column, if any) and read again: lineage ends there and any executor can be lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +41,8 @@ def forget(*frames: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in frames:
         spark = df.sparkSession
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        root = shared_dir(spark)
+        for file in {root + "/" + f.rpartition(root.rpartition("/")[2] + "/")[2].partition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

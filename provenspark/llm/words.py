@@ -3,22 +3,25 @@
 Words are the maximal runs of bytes other than the ASCII white space
 ``\\x20 \\x09-\\x0D`` after lower-casing ``A-Z``; since those bytes never occur
 inside a multi-byte UTF-8 character, working on bytes gives the same words as
-working on characters.  A word's hash is a polynomial over its bytes, computed
-for a whole block from one running sum, so no Python object is made per word.
-Texts of any length are hashed in blocks cut at white space: memory follows
-the block, apart from eight bytes a word.
+working on characters.  A word's hash chains a bijective finaliser over its
+eight-byte lanes (first lanes of all words at once, then second lanes of those
+that have one, and so on), so no Python object is made per word; the rest of a
+word beyond ``LANES`` lanes goes in as one BLAKE2b digest.  Texts of any length
+are hashed in blocks cut at white space: memory follows the block, apart from
+eight bytes a word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Bytes of text hashed at a time.
-BLOCK = 1 << 20
+#: Bytes of text hashed at a time, and eight-byte lanes of a word hashed side by side with those of other words.
+BLOCK, LANES = 1 << 20, 32
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -36,31 +39,62 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Tables:
-    """Powers of the base, their inverses, and one random value per (folded) byte."""
+    """Byte classes, the folding of A-Z, and the masks of a lane's first bytes."""
 
     def __init__(self) -> None:
-        self.n = 0
-        self.byte = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-        self.byte[65:91] = self.byte[97:123]
-        space = np.zeros(256, dtype=bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        self.space = space
+        self.fold = np.arange(256, dtype=np.uint8)
+        self.fold[65:91] += 32
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
         self.mark = np.zeros(256, dtype=bool)
         self.mark[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-
-    def upto(self, n: int) -> None:
-        if n > self.n:
-            n = max(n, BLOCK + 1024)
-            inverse = pow(_BASE, -1, 1 << 64)
-            one = np.ones(1, dtype=U64)
-            self.power = np.cumprod(np.concatenate([one, np.full(n, _BASE, dtype=U64)]), dtype=U64)
-            self.inverse = np.cumprod(np.concatenate([one, np.full(n, inverse, dtype=U64)]), dtype=U64)
-            self.n = n
+        self.lane = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
 TABLES = _Tables()
 
 
+class Folded:
+    """Folded bytes that give the eight bytes from any place on as one number."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.bytes = np.concatenate([TABLES.fold[raw], np.zeros(8, np.uint8)])
+        self.lanes = np.ndarray((len(raw) + 1,), "<u8", buffer=self.bytes, strides=(1,))
+
+    def lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes from each place, those beyond `left` as zero."""
+        return self.lanes[at] & TABLES.lane[np.minimum(left, 8)]
+
+
+def span_hashes(folded: Folded, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; spans of up to eight bytes and one length never collide."""
+    length = ends - starts
+    out = mix(length.astype(U64) + U64(seed << 32) + U64(0x9E3779B97F4A7C15))
+    rows, k = np.flatnonzero(length > 0), 0
+    while len(rows) and k < LANES:
+        out[rows] = mix(out[rows] ^ folded.lane(starts[rows] + 8 * k, length[rows] - 8 * k))
+        k += 1
+        rows = rows[length[rows] > 8 * k]
+    for i in rows.tolist():  # very long words
+        rest = hashlib.blake2b(folded.bytes[starts[i] + 8 * k : ends[i]], digest_size=8).digest()
+        out[i] = mix(out[i : i + 1] ^ np.frombuffer(rest, U64))[0]
+    return out
+
+
+def same_spans(a: Folded, a_at: np.ndarray, b: Folded, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """True where the spans of that length are equal byte for byte."""
+    out = np.ones(len(length), bool)
+    rows, k = np.flatnonzero(length > 0), 0
+    while len(rows) and k < LANES:
+        left = length[rows] - 8 * k
+        out[rows] &= a.lane(a_at[rows] + 8 * k, left) == b.lane(b_at[rows] + 8 * k, left)
+        k += 1
+        rows = rows[length[rows] > 8 * k]
+    for i in rows.tolist():
+        out[i] &= np.array_equal(a.bytes[a_at[i] + 8 * k : a_at[i] + length[i]], b.bytes[b_at[i] + 8 * k : b_at[i] + length[i]])
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,7 +118,6 @@ def _block(raw: np.ndarray, cuts: np.ndarray, prefixes: tuple[int, ...] = ()) ->
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros((1 + len(prefixes), 0), U64)
-    TABLES.upto(len(raw))
     word = ~TABLES.space[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[0] = edge[-1] = True
@@ -94,16 +127,14 @@ def _block(raw: np.ndarray, cuts: np.ndarray, prefixes: tuple[int, ...] = ()) ->
     after = edge[1:].copy()
     after[:-1] |= ~word[1:]
     starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-    sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(TABLES.byte[raw] * TABLES.power[: len(raw)], out=sums[1:])
-    inverse, out = TABLES.inverse[starts], []
+    folded, out = Folded(raw), []
     for k, p in enumerate([None, *prefixes]):
         to = ends if p is None else np.minimum(starts + p, ends)
         if p == 0:
             to = ends.copy()
             for _ in range(8):
                 to -= (to > starts + 1) & TABLES.mark[raw[to - 1]]
-        out.append(mix((sums[to] - sums[starts]) * inverse + (to - starts).astype(U64) + U64(k << 32)))
+        out.append(span_hashes(folded, starts, to, k))
     return starts, ends, np.stack(out)
 
 

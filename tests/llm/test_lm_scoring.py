@@ -47,22 +47,37 @@ def test_gradients(monkeypatch):
     monkeypatch.setattr(gru, "STATE", 4)
     p = {k: v.astype(np.float64) * 3 for k, v in gru.fresh().items()}
     r = np.random.default_rng(0)
-    x, y, mask = r.integers(0, gru.WORDS, (5, 3)), r.integers(0, 200, (5, 3)), np.ones((5, 3), bool)
+    x, y, opens = r.integers(0, gru.WORDS, (5, 3)), r.integers(0, 200, (5, 3)), np.zeros((5, 3), bool)
     y[2] = 0
-    mask[3:, 1] = False
+    y[3:, 1] = -1
+    opens[2, 0] = True
     state = r.normal(size=(3, 4))
-    loss, g, _ = gru.gradients(p, x, y, mask, state)
+    _, g, read, _ = gru.gradients(p, x, y, opens, state)
+    assert read.tolist() == sorted(set(x.ravel().tolist()))
+    embed = np.zeros_like(p["embed"])
+    embed[read] = g["embed"]
+    g["embed"] = embed
     for name in gru.NAMES:
         at = tuple(np.argwhere(np.abs(g[name]) == np.abs(g[name]).max())[0])
         keep, eps = p[name][at], 1e-5
         p[name][at] = keep + eps
-        up = gru.gradients(p, x, y, mask, state)[0]
+        up = gru.gradients(p, x, y, opens, state)[0]
         p[name][at] = keep - eps
-        down = gru.gradients(p, x, y, mask, state)[0]
+        down = gru.gradients(p, x, y, opens, state)[0]
         p[name][at] = keep
         assert g[name][at] == pytest.approx((up - down) / (2 * eps), rel=2e-3)
 
 
+def test_lanes_hold_every_token_after_its_own():
+    r = np.random.default_rng(4)
+    documents = [r.integers(0, 50, n) for n in (1, 700, 3, 40, 1)]
+    inputs, targets, opens = (a.T.ravel() for a in gru.lanes(documents))
+    n = sum(map(len, documents))
+    assert targets[:n].tolist() == np.concatenate(documents).tolist() and (targets[n:] == -1).all()
+    assert opens[:n].sum() == 5 and (inputs[:n][opens[:n]] == gru.WORDS).all()
+    assert (inputs[1:n][~opens[1:n]] == targets[: n - 1][~opens[1:n]]).all()
+
+
 def test_state_is_carried_and_words_sum_to_one():
     p = gru.fresh()
     p["b_in"] += np.float32(0.1)
@@ -81,12 +96,12 @@ def test_state_is_carried_and_words_sum_to_one():
 
 
 def test_every_training_token_is_fitted(docs, monkeypatch):
-    """The tokens of a round are all training tokens, in however many shards; nothing is sampled or broken off."""
+    """The tokens of all rounds are all training tokens, in however many shards; nothing is sampled or broken off."""
     seen, fitted = [], lm_scoring.fitted
 
-    def watched(shards, counts):
-        params, tokens = fitted(shards, counts)
-        seen.append((tokens, shards.select("shard").distinct().count()))
+    def watched(shards, counts, most):
+        params, tokens = fitted(shards, counts, most)
+        seen.append((tokens, shards.select("turn", "shard").distinct().count()))
         return params, tokens
 
     monkeypatch.setattr(lm_scoring, "fitted", watched)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,16 @@ def test_long_table_is_joined(make, monkeypatch, tokenizer):
     df = make(list(texts.items()))
     monkeypatch.setattr(P, "TABLE_ROWS", 0)
     check(P.pack(df).collect(), texts, tokenizer, 4096)
+
+
+def test_words_of_equal_hashes_keep_their_own_ids(monkeypatch):
+    """Every word of one length hashes alike here; the bytes decide."""
+    from provenspark.llm import tokens, words
+
+    plain = tokens.WordIds(tokens.default_tokenizer())
+    monkeypatch.setattr(words, "span_hashes", lambda folded, starts, ends, seed=0: words.mix((ends - starts).astype(np.uint64)))
+    cache = tokens.WordIds(tokens.default_tokenizer())
+    for texts in (["alpha gamma", "hello"], ["world"], ["alpha alpha", "", None]):
+        ids, first = cache.encode(pa.array(texts, pa.string()))
+        want, cuts = plain._whole(pa.array(texts, pa.string()))
+        assert ids.tolist() == want.tolist() and first.tolist() == cuts.tolist()

@@ -54,3 +54,32 @@ def test_prefixes_and_bare_words():
     assert hashes[1][0] == hashes[1][2] != hashes[1][1]
     assert len(set(hashes[2].tolist())) == 1
     assert hashes.dtype == np.uint64
+
+
+def _thue_morse(a, b, doublings=10):
+    bits = [0]
+    for _ in range(doublings):
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits)
+
+
+def test_words_built_to_collide_under_polynomial_hashes():
+    one, other = _thue_morse("a", "b"), _thue_morse("b", "a")
+    hashes, _ = W.word_hashes(pa.array([f"{one} {other} {one.upper()}"]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    sets = list(W.shingle_sets(pa.array([f"{one} x", f"{other} x"])))
+    assert len(set(sets[0]) & set(sets[1])) == 0
+
+
+@given(st.lists(st.text(alphabet="aAb", min_size=1, max_size=300), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_spans_compare_like_bytes(found):
+    raw = np.frombuffer(" ".join(found).encode(), np.uint8)
+    folded = W.Folded(raw)
+    length = np.array([len(w) for w in found])
+    starts = np.cumsum(length + 1) - length - 1
+    hashes = W.span_hashes(folded, starts, starts + length)
+    for i, w in enumerate(found):
+        assert [h == hashes[i] for h in hashes] == [w.lower() == x.lower() for x in found]
+        same = W.same_spans(folded, starts, folded, np.full(len(found), starts[i]), np.minimum(length, length[i]))
+        assert same.tolist() == [w.lower()[: len(x)] == x.lower()[: len(w)] for x in found]
