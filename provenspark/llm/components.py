@@ -2,8 +2,9 @@
 
 Every round is one shuffle by node with map-side minima and a table in the
 shared folder; nothing but a row count reaches the driver.  Hot nodes do not
-gather their neighbours: a node's minimum is aggregated before it is joined
-back, and the adaptive planner splits the join where one node has many edges.
+gather their neighbours: minima are aggregated map-side, and the minima of the
+nodes that hold more than a partition's share of all edges, of which there are
+at most as many as partitions, go out to the edges instead.
 """
 
 from __future__ import annotations
@@ -11,7 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenspark.llm.shared import cut, forget
+from provenspark.llm.shared import cut, forget, parts
+
+
+def _hung(edges: DataFrame, least: DataFrame, hot: float) -> DataFrame:
+    """edges (u, v) with the minimum m of their node u; least: (u, m, d) with the node's number of edges d."""
+    hubs = least.where(F.col("d") >= hot).select("u", "m")
+    others = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("d") < hot).select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(others)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,20 +33,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct(),
         "edges",
     )
-    before = None
-    while True:
+    before, total = None, now.count()
+    while total:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a node that holds so many of the 2 * total ends is a hub: there are no more of them than partitions
+        hot = 2 * total / parts(now.sparkSession)
         # large star: every larger neighbour is hung on the least of the node and its neighbours
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        large = _hung(both.where("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the node and its smaller neighbours are hung on the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = _hung(large, least, hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         # a fingerprint of the edge set tells when a round changes nothing
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(now)
-        now = after
+        now, total = after, mark[0]
         if mark == before:
             break
         before = mark

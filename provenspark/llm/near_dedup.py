@@ -13,9 +13,14 @@
    every member paired with the list's leader.  The union sketch's estimate
    then filters the pairs, and full shingle sets decide.
 4. Longer lists that still span several components are finished exactly: their
-   members are dealt into blocks, each pair of blocks is one group that
-   compares full sets and returns only a spanning forest of its links.
+   members are dealt by set size into bands, of which only neighbouring ones
+   can link, and into blocks of bounded rows and shingles.  Each pair of blocks
+   first counts shared retained values; texts follow only for members with a
+   partner, full sets decide, and a spanning forest of the links comes back.
 5. Components of all links; each document joins its class's component.
+
+A class's representative is known by a hash of its id and text, so rows that
+repeat an id with other texts stay apart.
 """
 
 from __future__ import annotations
@@ -35,21 +40,21 @@ from provenspark.llm.words import U64, mix, shingle_sets, slices, windows
 WORDS, PERCENT = 5, 75
 #: Retained values, consecutive values of a list's key, and the least shared part of a union sketch (0.75 less nine parts in two of its deviation).
 K, RUN, LEAST = 48, 3, 0.375
-#: Members up to which a list gives all pairs; members of a block of a longer one.
-SHORT, BLOCK = 64, 256
+#: Members up to which a list gives all pairs; members and shingles of a block of a longer one, and the ratio of a band's set sizes.
+SHORT, BLOCK, SHINGLES, RATIO = 64, 256, 1 << 18, 4 / 3
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, "text")):
         n, d1, d2, sketch = [], [], [], []
-        for s in shingle_sets(batch.column(1), WORDS):
+        for s in shingle_sets(batch.column("text"), WORDS):
             n.append(len(s))
             d1.append(int(s.sum(dtype=U64).view(np.int64)))
             d2.append(int(mix(s ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=U64).view(np.int64)))
             sketch.append(s[:K].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary())],
-            names=["id", "n", "d1", "d2", "sketch"],
+            [batch.column("id"), batch.column("rep"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary())],
+            names=["id", "rep", "n", "d1", "d2", "sketch"],
         )
 
 
@@ -110,27 +115,46 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links between the two sides of one pair of blocks."""
-    rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
-    side = table.column("side").to_numpy()
-    sets = list(shingle_sets(table.column("text"), WORDS))
-    size = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    where = np.repeat(np.arange(len(sets)), size)
-    # values that only one document has cannot be shared
-    often = np.bincount(at, minlength=len(values)) > 1
+def _shared(lists: list[np.ndarray]) -> np.ndarray:
+    """Values in common of every two of the lists of distinct values."""
+    size = np.array([len(s) for s in lists])
+    values, at = np.unique(np.concatenate(lists), return_inverse=True)
+    where = np.repeat(np.arange(len(lists)), size)
+    often = np.bincount(at, minlength=len(values)) > 1  # values that only one list has cannot be shared
     slot = np.cumsum(often) - 1
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    shared = np.zeros((len(lists), len(lists)), np.float32)
     for lo in range(0, int(often.sum()), 8192):
         take = often[at] & (slot[at] >= lo) & (slot[at] < lo + 8192)
-        dense = np.zeros((len(sets), 8192), np.float32)
+        dense = np.zeros((len(lists), 8192), np.float32)
         dense[where[take], slot[at[take]] - lo] = 1
         shared += dense @ dense.T
-    link = (100 + PERCENT) * shared >= PERCENT * (size[:, None] + size[None, :])
-    link &= comp[:, None] != comp[None, :]
+    return shared
+
+
+def _across(table: pa.Table) -> np.ndarray:
+    """Pairs of a cell's rows that lie in different components and, in a cell of two blocks, on different sides."""
+    comp, side = table.column("component").to_numpy(), table.column("side").to_numpy()
+    out = comp[:, None] != comp[None, :]
     if side.min() != side.max():
-        link &= side[:, None] != side[None, :]
+        out &= side[:, None] != side[None, :]
+    return out
+
+
+def _block_partners(table: pa.Table) -> pa.Table:
+    """The rows of one cell that share enough retained values with another."""
+    sketches = [np.frombuffer(b, dtype=U64) for b in table.column("sketch").to_pylist()]
+    shared, size, kept = _shared(sketches), table.column("n").to_numpy(), np.array([len(s) for s in sketches])
+    union = np.minimum(K, kept[:, None] + kept[None, :] - shared)
+    near = _across(table) & (shared >= LEAST * union) & (PERCENT * np.maximum(size[:, None], size[None, :]) <= 100 * np.minimum(size[:, None], size[None, :]))
+    return table.drop_columns(["sketch", "n"]).filter(pa.array(near.any(axis=1)))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the two sides of one pair of blocks."""
+    rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
+    sets = list(shingle_sets(table.column("text"), WORDS))
+    size = np.array([len(s) for s in sets])
+    link = ((100 + PERCENT) * _shared(sets) >= PERCENT * (size[:, None] + size[None, :])) & _across(table)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -149,18 +173,15 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
-
-    Null or blank texts have no shingle, stay alone and are kept.  Rows with a
-    null id take no part in links: component_id is null and they are kept.
-    Rows that repeat an id are each returned.  Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(rows.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, sketch binary"), "sketches")
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n, component_id, first): each row with the key of its id and text, and of its component's first row."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rep"), text.alias("text"))
+    seen = cut(rows.mapInArrow(_sketches, "id long, rep long, n long, d1 long, d2 long, sketch binary"), "sketches")
     named = seen.where("id is not null and n > 0")
-    classes = cut(named.groupBy("n", "d1", "d2").agg(F.min_by("sketch", "id").alias("sketch"), F.min("id").alias("rep")), "classes")
-    texts = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    least = F.min(F.struct("id", "rep"))
+    classes = cut(named.groupBy("n", "d1", "d2").agg(least.alias("least"), F.min_by("sketch", F.struct("id", "rep")).alias("sketch")).select("n", "d1", "d2", "sketch", F.col("least.rep").alias("rep"), F.col("least.id").alias("id")), "classes")
+    texts = rows.join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text")
 
     keys = classes.select("rep", "n", "sketch").mapInArrow(_keys, "key long, rep long")
     lists = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("leader")).where("c > 1")
@@ -175,18 +196,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_verified(pairs, classes, texts), "links")
     first = cut(connected_components(links), "components")
 
-    found = links.unionByName(cut(_long_lists(members, first, texts), "links"))
-    final = connected_components(found)
-    by_class = classes.select("n", "d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    alone = F.when(F.col("id").isNull() | (F.col("n") == 0) | F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
-    out = seen.select("id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    more = cut(_long_lists(members, classes, first, texts), "links")
+    final = cut(connected_components(links.unionByName(more)).withColumnRenamed("node", "rep"), "components")
+    forget(members, links, first, more)
+    linked = classes.select("rep", "id").join(final, "rep").groupBy("component").agg(F.min(F.struct("id", "rep")).alias("least"))
+    by_component = final.join(linked, "component").select("rep", "least")
+    by_class = classes.select("n", "d1", "d2", F.struct("id", "rep").alias("own"), "rep").join(by_component, "rep", "left").select("n", "d1", "d2", F.coalesce("least", "own").alias("least"))
+    alone = F.col("id").isNull() | (F.col("n") == 0) | F.col("least").isNull()
+    return seen.select("id", "rep", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left").select(
+        "id", F.col("rep").alias("key"), "n", F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.when(alone, F.col("rep")).otherwise(F.col("least.rep")).alias("first")
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+
+    Null or blank texts have no shingle, stay alone and are kept.  Rows with a
+    null id take no part in links: component_id is null and they are kept.
+    Rows that repeat an id are each returned, with the component of their own
+    text.  Other columns are not read; an empty table gives no rows.
+    """
+    out = _grouped(docs, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate class, the one of the smallest id; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs with one row of each near-duplicate class, of the smallest id.
+
+    Rows with a null id stay; of rows that repeat an id and its text one stays.
+    """
+    rows = cut(_grouped(docs, id_col, text_col).where("id is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first(F.col("key") == F.col("first")).alias("stays")).where("copies > 1 or not stays"), "repeats")
+    keyed = docs.withColumn("_key", F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))))
+    whole = keyed.join(rows.select(F.col("key").alias("_key")), "_key", "left_anti")
+    again = keyed.join(rows.where("stays").select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return whole.unionByName(again).drop("_key")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,33 +243,42 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     )
     near = cut(near, "near")
     return (
-        near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
         .mapInArrow(_verify, "a long, b long")
     )
 
 
-def _long_lists(members: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+CELL = ["g", "h", "x", "y", "i", "j"]
+
+
+def _long_lists(members: DataFrame, classes: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different components inside lists of more than SHORT members."""
-    hot = members.where(f"c > {SHORT}").select("key", "c", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    hot = members.where(f"c > {SHORT}").select("key", "c", "rep", "n").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = hot.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     hot = cut(hot.join(open_keys, "key"), "hot")
     # every document belongs to the longest of its lists; two such groups meet if some list holds members of both
-    home = cut(hot.groupBy("rep", "component").agg(F.max(F.struct("c", "key"))["key"].alias("g")).withColumn("spread", F.xxhash64("rep")), "homes")
-    groups = home.groupBy("g").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(RATIO))).cast("int")
+    home = cut(hot.groupBy("rep", "component", "n").agg(F.max(F.struct("c", "key"))["key"].alias("g")).withColumn("band", band), "homes")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    groups = home.groupBy("g", "band").agg(blocks.alias("blocks"))
     in_list = hot.select("key", "rep").join(home.select("rep", "g"), "rep").select("key", "g").distinct()
     meet = in_list.join(in_list.withColumnRenamed("g", "h"), "key").where("g <= h").select("g", "h").distinct()
+    # sets of which one has 75 % of the other's size lie in one band or in neighbouring ones
     cells = (
-        meet.join(groups.select("g", F.col("blocks").alias("gb")), "g")
-        .join(groups.select(F.col("g").alias("h"), F.col("blocks").alias("hb")), "h")
+        meet.join(groups.select("g", F.col("band").alias("x"), F.col("blocks").alias("gb")), "g")
+        .withColumn("y", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1))).where("g < h or x <= y")
+        .join(groups.select(F.col("g").alias("h"), F.col("band").alias("y"), F.col("blocks").alias("hb")), ["h", "y"])
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)))
-        .withColumn("j", F.explode(F.sequence(F.when(F.col("g") == F.col("h"), F.col("i")).otherwise(0), F.col("hb") - 1)))
-        .select("g", "h", "i", "j", "gb", "hb")
-    )
-    of_block = home.join(groups.select("g", "blocks"), "g").select("rep", "component", F.col("g").alias("own"), F.pmod("spread", "blocks").cast("int").alias("block"))
-    left = cells.select("g", "h", "i", "j", F.col("g").alias("own"), F.col("i").alias("block"), F.lit(0).alias("side"))
-    right = cells.where("not (g = h and i = j)").select("g", "h", "i", "j", F.col("h").alias("own"), F.col("j").alias("block"), F.lit(1).alias("side"))
-    dealt = left.unionByName(right).join(of_block, ["own", "block"]).select("g", "h", "i", "j", "side", "rep", "component")
-    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep")
-    return dealt.groupBy("g", "h", "i", "j").applyInArrow(_block_links, "a long, b long")
+        .withColumn("j", F.explode(F.sequence(F.when((F.col("g") == F.col("h")) & (F.col("x") == F.col("y")), F.col("i")).otherwise(0), F.col("hb") - 1)))
+        .select(*CELL)
+    )
+    of_block = home.join(groups, ["g", "band"]).select("rep", "component", "n", F.col("g").alias("own"), "band", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    left = cells.select(*CELL, F.col("g").alias("own"), F.col("x").alias("band"), F.col("i").alias("block"), F.lit(0).alias("side"))
+    right = cells.where("not (g = h and x = y and i = j)").select(*CELL, F.col("h").alias("own"), F.col("y").alias("band"), F.col("j").alias("block"), F.lit(1).alias("side"))
+    dealt = left.unionByName(right).join(of_block, ["own", "band", "block"]).select(*CELL, "side", "rep", "component", "n").join(classes.select("rep", "sketch"), "rep")
+    kinds = {"g": "long", "h": "long", "x": "int", "y": "int", "i": "int", "j": "int", "side": "int", "rep": "long", "component": "long"}
+    near = dealt.select(*kinds, "n", "sketch").groupBy(*CELL).applyInArrow(_block_partners, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    near = cut(near, "near")
+    return near.join(texts, "rep").groupBy(*CELL).applyInArrow(_block_links, "a long, b long")

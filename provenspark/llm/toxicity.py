@@ -5,8 +5,8 @@ Features are a document's words, bare and as written, and word beginnings, as
 toxic; toxic ones get 1 to ``GRADES`` by quantiles of the density of words that
 the labels mark (smoothed log odds).  One weight vector serves every threshold:
 P(grade <= k) = sigmoid(theta_k - w.x), and the expected severity is the sum
-over k of P(grade > k).  Scoring is a narrow stage: hashes are looked up in a
-fixed-size table of the kept features, whole texts at a time.
+over k of P(grade > k).  Scoring is a narrow stage: hashes are searched among
+the kept features, whole texts at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenspark.llm.shared import held_out
+from provenspark.llm.shared import held_out, numbers
 from provenspark.llm.words import U64, slices, word_hashes
 
 #: Labelled rows of each class that a fit uses at most, those of the smallest id hashes.
 SAMPLE = 3_000
-#: Word forms (0: without punctuation at the end; else beginnings in bytes), documents a kept feature is in at least, its deviation from the sample's share at least, kept features at most, grades above 0.
-PREFIXES, LEAST, DEVIATION, FEATURES, GRADES = (0, 4, 5, 6, 7), 6, 4.5, 60_000, 3
+#: Word forms (0: without punctuation at the end; else beginnings in bytes), documents of the sample a kept feature is in at least, its deviation from the sample's share at least, grades above 0.
+PREFIXES, LEAST, DEVIATION, GRADES = (0, 4, 5, 6, 7), 6, 4.5, 3
 EPOCHS, RATE, L2, TOXIC = 60, 0.5, 1e-5, 0.25
+#: Bits that tell most hashes apart from the kept ones before they are searched.
 TABLE = 1 << 20
 
 
@@ -70,16 +71,13 @@ def values(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Kept features' hashes and weights in a hash table without collisions, and the thresholds."""
+    """Kept features' sorted hashes and weights, and the thresholds."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> None:
-        slot = (keys & U64(TABLE - 1)).astype(np.int64)
-        strong = np.argsort(-np.abs(weights), kind="stable")  # of features with one slot the heaviest stays
-        _, at = np.unique(slot[strong], return_index=True)
-        keep = strong[np.sort(at)]
-        self.keys, self.weights, self.theta = keys[keep], weights[keep], theta
-        self.table = np.full(TABLE, -1, np.int32)
-        self.table[slot[keep]] = np.arange(len(keep), dtype=np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.weights, self.theta = keys[order], weights[order], theta
+        self.maybe = np.zeros(TABLE, bool)  # most features fail here, before the search
+        self.maybe[(self.keys & U64(TABLE - 1)).astype(np.int64)] = True
 
     def margins(self, column: pa.Array) -> np.ndarray:
         hashes, first = word_hashes(column, prefixes=PREFIXES)
@@ -87,10 +85,12 @@ class Model:
         words = np.diff(first)
         if not len(self.keys) or not hashes.size:
             return np.zeros(n)
-        doc = np.repeat(np.arange(n), words)
-        at = self.table[(hashes & U64(TABLE - 1)).astype(np.int64)]
-        hit = (at >= 0) & (self.keys[np.maximum(at, 0)] == hashes)
-        pair, count = np.unique((np.broadcast_to(doc, hashes.shape)[hit].astype(np.int64) << 32) | at[hit], return_counts=True)
+        doc = np.broadcast_to(np.repeat(np.arange(n), words), hashes.shape)
+        likely = self.maybe[(hashes & U64(TABLE - 1)).astype(np.int64)]
+        hashes, doc = hashes[likely], doc[likely].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        hit = self.keys[at] == hashes
+        pair, count = np.unique((doc[hit] << 32) | at[hit], return_counts=True)
         own, feature = pair >> 32, pair & 0xFFFFFFFF
         return np.bincount(own, self.weights[feature] * values(count, words[own]), n)
 
@@ -128,7 +128,7 @@ def fit(lists: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, gr
     seen, bad = np.bincount(at, minlength=len(keys)), np.bincount(at, flag[who], len(keys))
     # the features whose documents differ most from the sample's share
     z = np.where(seen >= LEAST, np.abs(bad - seen * flag.mean()) / np.sqrt(seen * flag.mean() * (1 - flag.mean()) + 1e-9), -1)
-    keep = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z >= DEVIATION).sum()))])
+    keep = np.flatnonzero(z >= DEVIATION)
     place = np.full(len(keys), -1)
     place[keep] = np.arange(len(keep))
     feature = place[at]
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = min(k or 0, most) / max(1, min(k or 0, most) + min(n - (k or 0), most))
     far = F.abs(F.col("bad") - F.col("seen") * p) / F.sqrt(F.col("seen") * p * (1 - p) + 1e-9)
     tally = sample.mapInArrow(_tally, "h long, seen long, bad long").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-    kept = tally.where((F.col("seen") >= LEAST) & (far >= DEVIATION)).orderBy(far.desc(), "h").limit(FEATURES).select("h").toPandas()["h"].to_numpy(np.int64)
+    kept = numbers(tally.where((F.col("seen") >= LEAST) & (far >= DEVIATION)).select("h"))[0]  # features of a sample of two times `most` rows
     rows = sample.mapInArrow(_gather(np.sort(kept.view(U64))), "id long, y int, h binary, c binary, n long").toPandas()
     rows = rows.sort_values(["id", "y", "n"], kind="stable")
     lists = [np.frombuffer(b, U64) for b in rows["h"]]

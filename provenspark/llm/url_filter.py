@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenspark.llm.shared import cut
+
 #: Fixed rules: (action, host, path).
 RULES = (
     ("allow", "com", "/"),
@@ -53,6 +55,23 @@ def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
 
 
+def parents(hosts: DataFrame, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
+    """hosts (host distinct, ...) with domain and suffix.
+
+    suffixes: public suffixes of two labels, or a table (suffix string) of any
+    size, whose longest entry that ends the host counts; a host without one has
+    its last label.  An address or a host of one label is its own domain.
+    """
+    if not isinstance(suffixes, DataFrame):
+        return hosts.select("*", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
+    labels = F.split("host", r"\.")
+    tails = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("at", "suffix"))
+    known = tails.join(suffixes.select(F.lower("suffix").alias("suffix")).distinct(), "suffix").groupBy("host").agg(F.min("at").alias("at"))
+    placed = hosts.join(known, "host", "left").withColumn("_at", F.coalesce("at", F.size(labels) - 1)).drop("at")
+    part = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    return placed.select(*hosts.columns, part(F.greatest(F.lit(1), F.col("_at"))).alias("domain"), part(F.col("_at") + 1).alias("suffix"))
+
+
 def _rule_column(host: Column, path: Column, rules, pick: int) -> Column:
     out = None
     for action, rule_host, rule_path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
@@ -99,29 +118,29 @@ def _posterior(level: DataFrame) -> tuple[Column, Column]:
     return mean.alias("mean"), (mean - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("bound")
 
 
-def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> dict[str, DataFrame]:
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> dict[str, DataFrame]:
     """By level (host, domain, suffix): (its name, n, k, mean, bound), the posterior bad rates of all names with an outcome.
 
     Null hosts or outcomes are left out; an empty table gives no rows.
     """
-    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
-    hosts = hosts.select("*", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
+    counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
+    hosts = cut(parents(counted, suffixes), "hosts")  # every level reads these counts, not the outcomes
     total = hosts.groupBy().agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("up"))
     by_suffix = _prior(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(total)), F.col("up"))
-    by_suffix = by_suffix.select("suffix", "n", "k", *_posterior(by_suffix))
+    by_suffix = cut(by_suffix.select("suffix", "n", "k", *_posterior(by_suffix)), "suffixes")
     by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(by_suffix.select("suffix", F.col("mean").alias("up")), "suffix")
     by_domain = _prior(by_domain, F.col("up"))
-    by_domain = by_domain.select("domain", "n", "k", *_posterior(by_domain))
+    by_domain = cut(by_domain.select("domain", "n", "k", *_posterior(by_domain)), "domains")
     by_host = _prior(hosts.join(by_domain.select("domain", F.col("mean").alias("up")), "domain"), F.col("up"))
-    return {"host": by_host.select("host", "n", "k", *_posterior(by_host)), "domain": by_domain, "suffix": by_suffix}
+    return {"host": cut(by_host.select("host", "n", "k", *_posterior(by_host)), "hosts"), "domain": by_domain, "suffix": by_suffix}
 
 
-def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """(host, n, k, mean, bound) from outcomes (host string, bad int): posterior bad rate of every labelled host."""
     return reputations(outcomes, suffixes)["host"]
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, most: float = MOST) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, most: float = MOST, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bound) for every row of pages.
 
     A null url or one without :// has an empty host and path.  A rule's action
@@ -131,8 +150,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     for row; other columns are not read; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    names = rows.select("host").distinct().select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    for level, known in reputations(outcomes).items():
+    names = parents(rows.select("host").distinct(), suffixes)
+    for level, known in reputations(outcomes, suffixes).items():
         names = names.join(known.select(level, F.struct("mean", "bound").alias(f"by_{level}")), level, "left")
     names = names.select("host", F.coalesce("by_host", "by_domain", "by_suffix").alias("by")).select("host", F.col("by.mean").alias("bad_rate"), F.col("by.bound").alias("bound"))
     judged = with_rules(rows, rules).join(names, "host", "left")

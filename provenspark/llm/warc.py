@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenspark.llm.shared import cut, new_path
+from provenspark.llm.shared import cut, new_path, parts
 
-#: Plain bytes after which a frame ends, and stored bytes after which a bundle does.
-FRAME, BUNDLE = 1 << 20, 256 << 20
+#: Plain bytes after which a frame ends, stored bytes after which a bundle does, and frames in a row that one task reads.
+FRAME, BUNDLE, RUN = 1 << 20, 256 << 20, 16
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -168,7 +168,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).cast("string").alias("html")).select(
         "*", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("bytes")
     )
-    repeated = rows.where(f"bytes >= {least}").groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).where("n > 1").drop("n")
+    # digests alone are shuffled to find the repeated ones; payloads meet only the rows of those, and stay in place if they fit a broadcast
+    repeated = cut(rows.where(f"bytes >= {least}").groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).where("n > 1").drop("n"), "repeated")
     linked = rows.join(repeated, ["digest", "bytes"], "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")))
     return cut(linked.select("page_id", "url", "html", "digest", "bytes", "refers_to").mapInArrow(_writer(folder or new_path(pages.sparkSession, "warc")), INDEX), "warc-index")
 
@@ -197,42 +198,71 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in READ.split(", ")])
 
 
-def _reader(with_payload: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Frames:
+    """Plain frames of bundles; the last file and frame are kept, since rows come in order."""
+
+    def __init__(self) -> None:
         import zstandard
 
-        plain = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for uri in batch.column("bundle").to_pylist():
-                store, path = _open(uri)
-                with store.open_input_file(path) as file:
-                    for start, stored, _ in seek_table(file):
-                        if rows := [_row(h, b, with_payload) for h, b in parse(plain.decompress(file.read_at(stored, start)))]:
-                            yield _rows(rows)
+        self.unpack, self.uri, self.file, self.at, self.last = zstandard.ZstdDecompressor(), None, None, None, b""
+
+    def __enter__(self) -> _Frames:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.file:
+            self.file.close()
+
+    def plain(self, uri: str, frame: int, start: int, stored: int) -> bytes:
+        if uri != self.uri:
+            if self.file:
+                self.file.close()
+            store, path = _open(uri)
+            self.uri, self.file, self.at = uri, store.open_input_file(path), None
+            self.table = seek_table(self.file)
+        if self.table[frame][:2] != (start, stored):
+            raise ValueError(f"the seek table of {uri} and the index differ at frame {frame}")
+        if frame != self.at:
+            self.at, self.last = frame, self.unpack.decompress(self.file.read_at(stored, start))
+        return self.last
+
+
+def _reader(with_payload: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _Frames() as frames:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if rows := [_row(h, b, with_payload) for h, b in parse(frames.plain(r["bundle"], r["frame"], r["frame_start"], r["frame_bytes"]))]:
+                        yield _rows(rows)
 
     return run
 
 
 def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of the index's bundles, read from the files and checked against their digests."""
-    return index.select("bundle").distinct().mapInArrow(_reader(with_payload), READ)
+    """Every record of the index's bundles, read from the files and checked against their digests; an empty index gives no rows.
 
+    Frames are dealt out by place, so that the readers share the bundles' bytes whatever the number of bundles.
+    """
+    frames = index.groupBy("bundle", "frame").agg(F.min("frame_start").alias("frame_start"), F.min("frame_bytes").alias("frame_bytes"))
+    spread = max(parts(index.sparkSession), index.sparkSession.sparkContext.defaultParallelism)
+    return frames.repartition(spread, "bundle", F.floor(F.col("frame") / RUN)).sortWithinPartitions("bundle", "frame").mapInArrow(_reader(with_payload), READ)
 
-def _seeker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
 
-    plain = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for r in batch.to_pylist():
-            store, path = _open(r["bundle"])
-            with store.open_input_file(path) as file:
-                frame = plain.decompress(file.read_at(r["frame_bytes"], r["frame_start"]))
-            yield _rows([_row(h, b, True) for h, b in parse(frame[r["offset"] : r["offset"] + r["length"]])])
+def _seeker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with _Frames() as frames:
+        for batch in batches:
+            for r in batch.to_pylist():
+                frame = frames.plain(r["bundle"], r["frame"], r["frame_start"], r["frame_bytes"])
+                yield _rows([_row(h, b, True) for h, b in parse(frame[r["offset"] : r["offset"] + r["length"]])])
 
 
 def read_records(index: DataFrame, wanted: Column) -> DataFrame:
-    """The records that the condition on the index selects, by seeking to their frames."""
-    return index.where(wanted).mapInArrow(_seeker, READ)
+    """The records that the condition on the index selects, by seeking to their frames, each frame unpacked once a task.
+
+    Rows for which the condition is null are not read; an index row that is selected twice is read twice; an empty index gives no rows.
+    """
+    chosen = index.where(wanted)
+    return chosen.repartition(parts(index.sparkSession), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_seeker, READ)
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_words import plain, shingles
 
@@ -83,3 +85,39 @@ def test_components(spark):
 
 def test_words_as_in_contract():
     assert plain("A\x0bB c\x1cd") == ["a", "b c\x1cd"]
+
+
+def test_rows_that_repeat_an_id_with_other_texts(make):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base), (1, "x y z u v w"), (2, "x y z u v w"), (3, base + " more"), (9, base), (9, base)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(make(rows)).collect())
+    assert got == [(1, 2, 1), (1, 36, 1), (2, 2, 1), (3, 37, 1), (9, 36, 1), (9, 36, 1)]
+    assert sorted((r.doc_id, len(r.text.split())) for r in N.survivors(make(rows)).collect()) == [(1, 6), (1, 40)]
+    again = [(5, base), (5, base), (6, "q"), (6, "q"), (None, "q"), (None, "q")]
+    assert sorted(str(r.doc_id) for r in N.survivors(make(again)).collect()) == ["5", "6", "None", "None"]
+
+
+@pytest.mark.parametrize("n", [30, 60, 200, 2000])
+def test_linked_sets_share_a_list_and_pass_the_estimate(n):
+    """Pairs of sets at 75 % exactly, the hardest ones: none may be lost."""
+    r = np.random.default_rng(n)
+    lost = 0
+    for _ in range(3000):
+        both = -(-3 * n // 4)
+        union = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        cut = both + r.integers(0, n - both + 1)
+        x, y = np.sort(np.concatenate([union[:both], union[both:cut]]))[: N.K], np.sort(np.concatenate([union[:both], union[cut:]]))[: N.K]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([n, n]), pa.array([x.tobytes(), y.tobytes()])], names=["rep", "n", "sketch"])
+        keys = next(iter(N._keys(iter([batch]))))
+        lists = [set(k.as_py() for k, o in zip(keys.column("key"), keys.column("rep"), strict=True) if o.as_py() == w) for w in (0, 1)]
+        short = next(iter(N._short(iter([batch])))).column("sk").to_pylist()
+        sa, sb = (np.frombuffer(b, np.uint32).reshape(1, -1) for b in short)
+        lost += not (lists[0] & lists[1]) or N.estimated(sa, sb)[0] < N.LEAST
+    assert lost == 0
+
+
+def test_hubs_are_hung_without_gathering(spark):
+    """A hub with most edges, whether its id is the least or the greatest."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(10_000, i) for i in range(1_000, 1_400)] + [(5_000, 5_001)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(400)}, **{i: 1_000 for i in [*range(1_000, 1_400), 10_000]}, 5_000: 5_000, 5_001: 5_000}

@@ -70,3 +70,53 @@ def test_domains(spark, host, domain, suffix):
 
     r = spark.range(1).select(U.domain_of(F.lit(host)).alias("d"), U.suffix_of(F.lit(host)).alias("s")).first()
     assert (r.d, r.s) == (domain, suffix)
+
+
+def test_suffixes_from_a_table(spark):
+    table = spark.createDataFrame([("com",), ("Github.io",), ("io",), ("uk",), ("co.uk",)], "suffix string")
+    hosts = spark.createDataFrame([("a.b.github.io",), ("x.io",), ("www.shop.co.uk",), ("host",), ("a.b.unknown",), ("com",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in U.parents(hosts, table).collect()}
+    assert got["a.b.github.io"] == ("b.github.io", "github.io") and got["x.io"] == ("x.io", "io")
+    assert got["www.shop.co.uk"] == ("shop.co.uk", "co.uk") and got["a.b.unknown"] == ("b.unknown", "unknown")
+    assert got["host"][0] == "host" and got["com"][0] == "com"
+
+
+def test_bound_decides_rows_like_plain_arithmetic(spark):
+    """Hosts that differ: the verdicts come from the posterior bound, level by level."""
+    import random
+
+    r = random.Random(5)
+    outcomes = [(f"h{h}.d{h % 5}.org", int(r.random() < (0.9 if h % 5 == 0 else 0.02))) for h in range(40) for _ in range(r.randint(1, 40))]
+    pages = [(i, f"https://{h}/p{i}") for i, h in enumerate(sorted({h for h, _ in outcomes}) + ["new.d0.org", "new.d1.org", "new.org", "x.unseen"])]
+    got = {r.host: r for r in U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "host string, bad int"), rules=()).collect()}
+
+    def prior(children, up):
+        ss = sum(n * (k / n - up[c]) ** 2 for c, (n, k) in children.items())
+        binomial, scale = sum(up[c] * (1 - up[c]) for c in children), sum(n * up[c] * (1 - up[c]) for c, (n, k) in children.items())
+        rho = max(0.0, (ss - binomial) / (scale - binomial)) if scale > binomial else 0.0
+        return max(U.STRENGTH[0], min(U.STRENGTH[1], 1 / rho - 1 if rho > 0 else U.STRENGTH[1]))
+
+    def level(name, up):
+        children = {}
+        for h, bad in outcomes:
+            n, k = children.get(name(h), (0, 0))
+            children[name(h)] = (n + 1, k + bad)
+        means = {c: up(c) for c in children}
+        m = prior(children, means)
+        out = {}
+        for c, (n, k) in children.items():
+            a, b = m * means[c] + k, m * (1 - means[c]) + n - k
+            out[c] = (a / (a + b), a / (a + b) - U.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
+        return out
+
+    total = (sum(b for _, b in outcomes) + 1) / (len(outcomes) + 2)
+    suffix = level(lambda h: h.rpartition(".")[2], lambda c: total)
+    domain = level(lambda h: ".".join(h.split(".")[-2:]), lambda c: suffix["org"][0])
+    host = level(lambda h: h, lambda c: domain[".".join(c.split(".")[-2:])][0])
+    for name, row in got.items():
+        d = ".".join(name.split(".")[-2:])
+        want = host.get(name) or domain.get(d) or suffix.get(name.rpartition(".")[2])
+        assert (row.bound is None) if want is None else row.bound == pytest.approx(want[1])
+        assert row.verdict == ("block" if want and want[1] > U.MOST else "allow")
+    verdicts = [r.verdict for r in got.values()]
+    assert verdicts.count("block") >= 5 and verdicts.count("allow") >= 5 and got["new.d0.org"].verdict == "block"
