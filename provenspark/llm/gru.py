@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of the model: 0 is any other word, the last one a text's end.
-WORDS, CLASSES, STATE, WINDOW = 4096, 64, 24, 32
+WORDS, CLASSES, STATE, WINDOW = 2048, 32, 24, 32
 PER = WORDS // CLASSES
 #: Lanes side by side in training, rounds that share the documents out, and Adam's rate.
-SIDE, ROUNDS, RATE = 128, 4, 0.02
+SIDE, ROUNDS, RATE = 256, 4, 0.03
 NAMES = ("embed", "u", "b_in", "b_state", "class_w", "class_b", "word_w", "word_b")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenspark.llm import gru
-from provenspark.llm.shared import cut, held_out, numbers
+from provenspark.llm.shared import cut, held_out, numbers, parts
 from provenspark.llm.words import U64, mix, slices, word_hashes
 
 #: Training tokens of a shard, about; words whose counts go out with the tasks at most.
@@ -135,9 +135,10 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(shards: DataFrame, counts: np.ndarray, most: int) -> tuple[dict, int]:
     """(parameters, tokens) after ROUNDS rounds over shards (turn, shard, ids); most: shards of a round at most."""
     state, tokens = gru.start(counts), 0
+    tasks = min(most, 2 * parts(shards.sparkSession))  # a task passes over its shards in turn and hands on one state
     for turn in range(gru.ROUNDS):
-        of_turn = shards.where(F.col("turn") == turn).select("shard", "ids").repartitionById(most, "shard")
-        means = of_turn.mapInArrow(_pass(state, turn), STATES).repartition(max(ADDERS, int(most**0.5))).mapInArrow(_mean, STATES)
+        of_turn = shards.where(F.col("turn") == turn).select("shard", "ids").repartitionById(tasks, "shard")
+        means = of_turn.mapInArrow(_pass(state, turn), STATES).repartition(max(ADDERS, int(tasks**0.5))).mapInArrow(_mean, STATES)
         found = means.repartition(ADDERS).mapInArrow(_mean, STATES).collect()  # at most ADDERS rows
         if found:
             own = sum(r["tokens"] for r in found)
