@@ -113,9 +113,42 @@ def visible(store: Store) -> DataFrame:
     return graph.visibility(store.read("partition_flow"), store.read("partition").select("name").union(store.read("observation").select("partition")).distinct())
 
 
-def recall(store: Store, queries: DataFrame, now: float, **limits) -> tuple[DataFrame, DataFrame]:
-    """Answers and results for queries (query_id, query, viewer); nothing is reinforced by asking."""
-    return retrieval.recall(queries, nodes(store), states(store, now), visible(store), store.read("absence"), now, **limits)
+def recall(store: Store, queries: DataFrame, now: float, hits: DataFrame | None = None, mentioned: DataFrame | None = None, **limits) -> tuple[DataFrame, DataFrame]:
+    """Answers and results for queries (query_id, query, viewer); nothing is reinforced by asking.
+
+    hits: semantic hits of an encoder (query_id, node, sim); mentioned: entities
+    that queries name (query_id, entity_id).  answers also say whether they are
+    degraded (no encoder), provisional (texts wait to be embedded), at full
+    strength and informative.
+    """
+    made, edges = store.read("derived"), store.read("derivation_edge")
+    every = nodes(store)
+    placed = every.join(observations(store).select("id", "episode_id", "period_id"), "id", "left")
+    signals = {
+        "post": store.read("lexeme").select("term", F.col("node_id").alias("node"), "partition", "tf"),
+        "assoc": associations(store),
+        "succession": store.read("succession"),
+        "recollection": retrieval.surroundings(placed, store.read("assoc_edge"), store.read("mention"), edges, made),
+        "entities": store.read("entity"),
+        "criticality": store.read("criticality").groupBy(F.col("node_id").alias("node")).agg(F.max_by("score", "computed_at").alias("score")),
+        "grades": grades(store),
+        "half_lives": sequences.half_life(store.read("supersession")),
+        "parents": edges,
+    }
+    if hits is not None:
+        signals["hits"] = hits
+    if mentioned is not None:
+        signals |= {"mentioned": mentioned, "mention": store.read("mention"), "relation": store.read("relation")}
+    answers, results = retrieval.recall(queries, placed, states(store, now), visible(store), store.read("absence"), now, **signals, **limits)
+    waiting = store.read("embed_queue").select("node_id").distinct().agg(F.count("*").alias("pending"))  # one row
+    flags = answers.join(F.broadcast(waiting)).withColumn("degraded", F.lit(hits is None)).withColumn("provisional", F.col("pending") > 0)
+    return flags.withColumn("full_strength", ~F.col("degraded") & ~F.col("provisional")).withColumn("informative", F.col("state") != "dont_know").drop("pending"), results
+
+
+def associations(store: Store) -> DataFrame:
+    """(src, dst, weight): associations with the weight of their whole history: one, and a quarter more for each repetition up to four."""
+    g = store.read("assoc_edge").groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("weight").alias("most"))
+    return g.select("src", "dst", F.least(F.lit(4.0), F.col("most") + 0.25 * (F.col("n") - 1)).alias("weight"))
 
 
 def reinforced(results: DataFrame, now: float) -> dict[str, DataFrame]:

@@ -132,48 +132,196 @@ def spread(cands: DataFrame, assoc: DataFrame, succession: DataFrame | None = No
     return cands.select("query_id", "node", "score").unionByName(given).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
 
 
-def recall(queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: DataFrame, absences: DataFrame, now: float, budget: int = 5, per_group: int = 2) -> tuple[DataFrame, DataFrame]:
+def scope(queries: DataFrame, visible: DataFrame) -> DataFrame:
+    """(viewer, owner, level) for the viewers that ask."""
+    return queries.select("viewer").distinct().join(visible, "viewer").select("viewer", "owner", "level")
+
+
+def scoped_terms(held: DataFrame, seen: DataFrame) -> DataFrame:
+    """(viewer, term, df): how many of the postings of a term each viewer may see; counts by partition come first."""
+    by_owner = held.groupBy(F.col("partition").alias("owner"), "term").agg(F.count("*").alias("n"))
+    return by_owner.join(seen, "owner").groupBy("viewer", "term").agg(F.sum("n").alias("df"))
+
+
+def scoped_sizes(nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """(viewer, n): nodes of the partitions that each viewer may see, whatever their tier."""
+    return nodes.groupBy(F.col("partition").alias("owner")).agg(F.count("*").alias("n")).join(seen, "owner").groupBy("viewer").agg(F.sum("n").alias("n"))
+
+
+def scoped_candidates(terms: DataFrame, live: DataFrame, seen: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(query_id, node, score) as lexical_candidates, from what each query's viewer may see alone.
+
+    terms (query_id, viewer, term, n_terms), live postings (term, node, partition, tf).
+    """
+    weight = scoped_terms(live, seen).join(sizes, "viewer").select("viewer", "term", F.greatest(text.idf(F.col("df"), F.greatest("n", F.lit(1))), F.lit(0.05)).alias("w"))
+    hits = live.join(terms.join(weight, ["viewer", "term"]), "term").join(seen.select("viewer", F.col("owner").alias("partition")), ["viewer", "partition"])
+    summed = hits.groupBy("query_id", "node", "n_terms").agg(F.sum(F.col("tf") * F.col("w")).alias("raw"), F.count("*").alias("matched"))
+    top = summed.groupBy("query_id").agg(F.max("raw").alias("top"))
+    return summed.join(top, "query_id").select("query_id", "node", (F.col("raw") / F.col("top") * F.col("matched") / F.col("n_terms")).alias("score"))
+
+
+def blended(cands: DataFrame, hits: DataFrame, floor: float = fixed.SIMILARITY_FLOOR, ceiling: float = 1.0) -> DataFrame:
+    """Candidates with semantic hits (query_id, node, sim): the greater of the score and the similarity's level in the encoder's range."""
+    near = hits.select("query_id", "node", memory.level(F.col("sim"), floor, ceiling).alias("score"))
+    return cands.select("query_id", "node", "score").unionByName(near).groupBy("query_id", "node").agg(F.max("score").alias("score"))
+
+
+def densities(hits: DataFrame, floor: float = fixed.SIMILARITY_FLOOR, ceiling: float = 1.0) -> DataFrame:
+    """(query_id, density) of the best semantic hit over the background of the others."""
+    best = hits.groupBy("query_id").agg(F.max("sim").alias("best")).join(background(hits), "query_id", "left")
+    return best.select("query_id", memory.density(F.col("best"), F.col("background"), floor, ceiling=ceiling).alias("density"))
+
+
+def surroundings(nodes: DataFrame, assoc: DataFrame, mention: DataFrame, edges: DataFrame, derived: DataFrame) -> DataFrame:
+    """(node, recollection): how much surrounds each node: an episode of more than one, a period, a source, a standalone copy, neighbours.
+
+    nodes (id, episode_id, period_id, source_ref).
+    """
+    shared = nodes.where("episode_id is not null").groupBy("episode_id").agg((F.count("*") > 1).alias("_shared"))
+    ends = assoc.select(F.col("src").alias("id")).unionByName(mention.select(F.col("node_id").alias("id"))).groupBy("id").agg(F.count("*").alias("_near"))
+    copies = edges.join(derived.where("kind = 'decontext'").select(F.col("id").alias("child_id")), "child_id").select(F.col("parent_id").alias("id"), F.lit(True).alias("_alone")).distinct()
+    met = nodes.select("id", "episode_id", "period_id", "source_ref").join(shared, "episode_id", "left").join(ends, "id", "left").join(copies, "id", "left")
+    no = F.lit(False)
+    sourced = F.coalesce((F.col("source_ref") != "") & (F.col("source_ref") != "inline"), no)
+    return met.select(F.col("id").alias("node"), memory.recollection(F.coalesce("_shared", no), F.col("period_id").isNotNull(), sourced, F.coalesce("_alone", no), F.coalesce("_near", F.lit(0))).alias("recollection"))
+
+
+def answerable(queries: DataFrame, entities: DataFrame, seen: DataFrame) -> DataFrame:
+    """(query_id, has_answer): whether a visible entity is of the kind asked for; null where nothing is asked for or there is no entity at all."""
+    asked = queries.select("query_id", "viewer", text.answer_type(F.col("query")).alias("kind"))
+    held = entities.select(F.col("partition").alias("owner"), "kind").distinct().join(seen, "owner").select("viewer", "kind").distinct().withColumn("held", F.lit(True))
+    some = entities.agg((F.count("*") > 0).alias("some"))  # one row
+    met = asked.join(held, ["viewer", "kind"], "left").join(F.broadcast(some))
+    return met.select("query_id", F.when(F.col("kind").isNotNull() & F.col("some"), F.coalesce("held", F.lit(False))).alias("has_answer"))
+
+
+def knew_once(terms: DataFrame, pruned: DataFrame, seen: DataFrame) -> DataFrame:
+    """(query_id, node): the pruned node that holds most of a query's terms, at least half; of equals the smallest."""
+    hits = pruned.join(terms, "term").join(seen.select("viewer", F.col("owner").alias("partition")), ["viewer", "partition"])
+    held = hits.groupBy("query_id", "node", "n_terms").agg(F.count("*").alias("matched")).where("2 * matched >= n_terms")
+    return held.groupBy("query_id").agg(F.min_by("node", F.struct(-F.col("matched"), F.col("node"))).alias("node"))
+
+
+#: What recall looks at besides nodes, states and visibility; every table may be left out.
+SIGNALS = ("post", "hits", "mentioned", "mention", "relation", "assoc", "succession", "recollection", "entities", "criticality", "grades", "half_lives", "parents")
+
+
+def recall(
+    queries: DataFrame, nodes: DataFrame, states: DataFrame, visible: DataFrame, absences: DataFrame, now: float,
+    budget: int = 5, per_group: int = 2, group: str = "source_ref", tokens: int | None = None, at: float | None = None,
+    most_affect: float = 1.01, inferred: bool = True, typed: bool = True, floor: float = fixed.SIMILARITY_FLOOR, ceiling: float = 1.0, **signals: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
     """(answers, results) for a table of queries (query_id, query, viewer).
 
     nodes (id, partition, content, source_ref, at, claim_class, epistemic,
-    kind), states (node, r, tier, suppressed), visible (viewer, owner, level),
-    absences (query, expires_at, searched_at).  answers has a row per query:
-    state and signals; results the ranked rows of queries that know something.
+    kind and where known valid_from, valid_to, affect, reliability,
+    credibility), states (node, r, tier, suppressed), visible (viewer, owner,
+    level), absences (partition, query, expires_at, searched_at).  Every number
+    that reaches an answer - documents, frequencies, coverage, the best score -
+    counts what the query's viewer may see and nothing else.
+
+    signals, by the names in SIGNALS: stored postings, semantic hits (query_id,
+    node, sim), entities a query mentions with mentions and relations,
+    associations and successions, recollection by node, entities, criticality,
+    source grades, learned half-lives, derivation edges.  at: the time whose
+    knowledge is asked for.  group: column of nodes that the cap spreads over.
+    tokens: budget of quarter characters.  typed: whether the kind of answer
+    and identifiers weigh.  answers has a row per query; a blank query knows
+    nothing; results holds the ranked rows of queries that know something.
     Scoring is pure: reinforcement is a separate append of review events.
     """
-    post = postings(nodes).join(states.where("tier != 'pruned'").select("node"), "node")
-    n = nodes.agg(F.count("*").alias("n"))
-    terms = query_terms(queries).join(queries.select("query_id", "viewer", "query"), "query_id")
-    held = sought(post, terms)
-    cands = lexical_candidates(terms.select("query_id", "term", "n_terms"), held, term_idf(held, n))
-    facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), "content", "source_ref", "at", "claim_class", "epistemic", "kind", text.identifiers(F.col("content")).alias("ids"))
+    if unknown := set(signals) - set(SIGNALS):
+        raise TypeError(f"unknown signals {sorted(unknown)}")
+    has = signals.get
+    seen = scope(queries, visible)
+    terms = query_terms(queries).join(queries.select("query_id", "viewer"), "query_id")
+    post = has("post") if has("post") is not None else postings(nodes)
+    held = sought(post, terms).join(states.select("node", "tier"), "node")
+    live, gone = held.where("tier != 'pruned'").drop("tier"), held.where("tier = 'pruned'").drop("tier")
+    cands = scoped_candidates(terms, live, seen, scoped_sizes(nodes, seen))
+    hits = has("hits")
+    if hits is not None:
+        hits = hits.join(nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner")), "node").join(queries.select("query_id", "viewer"), "query_id").join(seen.select("viewer", "owner"), ["viewer", "owner"]).select("query_id", "node", "sim")
+        cands = blended(cands, hits, floor, ceiling)
+    if has("mentioned") is not None:
+        cands = bridge(cands, has("mentioned"), has("mention"), has("relation"))
+    if has("assoc") is not None:
+        cands = spread(cands, has("assoc"), has("succession"))
+
+    own = {c: F.col(c) if c in nodes.columns else F.lit(None).cast(k).alias(c) for c, k in (("valid_from", "double"), ("valid_to", "double"), ("affect", "double"), ("surprise", "double"), ("open_loop", "boolean"), ("acquisition_cost", "double"), ("reliability", "string"), ("credibility", "int"))}
+    facts = nodes.select(F.col("id").alias("node"), F.col("partition").alias("owner"), F.col("content"), F.col("at").alias("observed_at"), "claim_class", "epistemic", "kind", F.col("source_ref"), *([F.col(group)] if group != "source_ref" else []), *own.values(), text.identifiers(F.col("content")).alias("ids"))
     asked = queries.select("query_id", "viewer", text.answer_type(F.col("query")).alias("want"), text.identifiers(F.col("query")).alias("asked"))
-    seen = cands.join(facts, "node").join(asked, "query_id").join(visible, ["viewer", "owner"])
-    seen = seen.where("level = 'full' or kind in ('summary', 'abstraction', 'community')").join(states, "node")
-    score = F.col("score") * F.when(F.coalesce("suppressed", F.lit(False)), fixed.SUPPRESSED).otherwise(1.0) * text.affinity(F.col("content"), F.col("want")) * text.exactness(F.col("ids"), F.col("asked"))
-    scored = seen.withColumn("score", score)
-    signals = conflict(scored)
+    met = cands.join(facts, "node").join(asked, "query_id").join(seen, ["viewer", "owner"]).where("level = 'full' or kind in ('summary', 'abstraction', 'community')")
+    met = met.join(states, "node").where("tier != 'pruned'").where(F.coalesce("affect", F.lit(0.0)) <= most_affect)
+    if at is not None:
+        met = met.where(as_of(F.lit(at)))
+    if not inferred:
+        met = met.where(F.col("epistemic").isin("observed", "reported"))
+    if has("criticality") is not None:
+        met = met.join(has("criticality").select("node", F.col("score").alias("weight")), "node", "left")
+    weight = F.coalesce("weight", F.lit(0.0)) if has("criticality") is not None else F.lit(0.0)
+    score = F.col("score") * F.when(F.coalesce("suppressed", F.lit(False)), fixed.SUPPRESSED).otherwise(1.0)
+    score = score * memory.salience(F.col("r"), F.coalesce("surprise", F.lit(0.0)), F.coalesce("open_loop", F.lit(False)), F.coalesce("acquisition_cost", F.lit(0.0)), weight)
+    if typed:
+        score = score * text.affinity(F.col("content"), F.col("want")) * text.exactness(F.col("ids"), F.col("asked"))
+    scored = met.withColumn("score", score).drop("ids", "asked")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "content", "node")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    best = ranked.where("rank = 1").select("query_id", F.col("r").alias("best_r"))
-    gathered = queries.select("query_id", "query").join(coverage(terms.select("query_id", "term", "n_terms"), held), "query_id", "left").join(signals, "query_id", "left").join(best, "query_id", "left")
-    gathered = gathered.na.fill({"coverage": 0.0, "n": 0, "best": 0.0, "conflict": 0.0, "best_r": 0.0})
-    state = memory.gate(F.col("n"), F.col("coverage"), F.col("best"), F.col("best_r"), F.col("conflict"), F.lit(0.25), F.lit(None).cast("boolean"))
-    told = absent(queries, absences, now)
-    answers = gathered.join(told, "query_id", "left").withColumn("state", F.when(F.col("absent").isNotNull() & (state != "know"), "searched_and_absent").otherwise(state))
-    shown = group_cap(ranked.join(answers.where("state not in ('dont_know')").select("query_id"), "query_id"), "source_ref", per_group, min(budget, fixed.MOST_RESULTS))
-    results = shown.select("query_id", F.col("place").alias("rank"), "node", F.round("score", 6).alias("score"), "content", "source_ref", "epistemic", F.round(memory.staleness(now - F.col("at"), F.col("claim_class")), 6).alias("staleness"))
-    return answers.select("query_id", "state", F.col("n").alias("candidates"), F.round("best", 6).alias("best"), F.round("coverage", 6).alias("coverage"), F.round("conflict", 6).alias("conflict")), results
+
+    best = ranked.where("rank = 1").select("query_id", "node", F.col("r").alias("best_r"))
+    if has("recollection") is not None:
+        best = best.join(has("recollection"), "node", "left")
+    best = best.select("query_id", "best_r", (F.coalesce("recollection", F.lit(0.0)) if has("recollection") is not None else F.lit(0.25)).alias("recollection"))
+    known = terms.join(scoped_terms(held, seen).select("viewer", "term", F.lit(1).alias("known")), ["viewer", "term"], "left")
+    covered = known.groupBy("query_id").agg((F.count("known") / F.first("n_terms")).alias("coverage"), F.slice(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("term")))), 1, 4).alias("missing"))
+    gathered = queries.select("query_id", "query", "viewer").join(covered, "query_id", "left").join(conflict(scored), "query_id", "left").join(best, "query_id", "left")
+    gathered = gathered.join(densities(hits, floor, ceiling), "query_id", "left") if hits is not None else gathered.withColumn("density", F.lit(0.0))
+    gathered = gathered.join(answerable(queries, has("entities"), seen), "query_id", "left") if has("entities") is not None else gathered.withColumn("has_answer", F.lit(None).cast("boolean"))
+    gathered = gathered.na.fill({"coverage": 0.0, "n": 0, "best": 0.0, "conflict": 0.0, "best_r": 0.0, "recollection": 0.0, "density": 0.0}).withColumn("best", F.least(F.lit(1.0), "best"))
+    familiarity = F.greatest("coverage", "density")
+    blank = F.size(F.array_distinct(text.tokens(F.col("query")))) == 0
+    state = F.when(blank, "dont_know").otherwise(memory.gate(F.col("n"), familiarity, F.col("best"), F.col("best_r"), F.col("conflict"), F.col("recollection"), F.col("has_answer")))
+    told = gathered.withColumn("state", state).withColumn("familiarity", familiarity).join(absent(queries, absences, now), "query_id", "left").join(knew_once(terms, gone, seen).withColumnRenamed("node", "once"), "query_id", "left")
+    final = (
+        F.when(F.col("absent").isNotNull() & (F.col("state") != "know") & ~blank, "searched_and_absent")
+        .when((F.col("state") == "dont_know") & F.col("once").isNotNull(), "knew_once")
+        .otherwise(F.col("state"))
+    )
+    answers = told.withColumn("state", final)
+
+    most = min(max(1, budget), fixed.MOST_RESULTS)
+    take = F.when(F.col("state") == "tip_of_tongue", min(most + 2, fixed.MOST_RESULTS)).when(F.col("state") == "searched_and_absent", 2).otherwise(most)
+    open_ = ranked.join(answers.where("state not in ('dont_know', 'knew_once')").select("query_id", "state", take.alias("take")), "query_id")
+    shown = group_cap(open_, group, per_group, fixed.MOST_RESULTS).where("place <= take").withColumn("rank", F.col("place"))
+    if tokens is not None:
+        shown = token_budget(shown, tokens)
+    if has("grades") is not None:
+        latest = has("grades").select("source_ref", F.col("reliability").alias("_rel"), F.col("credibility").alias("_cred"))
+        shown = shown.join(latest, "source_ref", "left").withColumn("reliability", F.coalesce("_rel", "reliability")).withColumn("credibility", F.coalesce("_cred", "credibility"))
+    learned = None
+    if has("half_lives") is not None:
+        shown = shown.join(has("half_lives").select("claim_class", "half_life"), "claim_class", "left")
+        learned = F.col("half_life")
+    aged = memory.staleness(F.lit(now) - F.col("observed_at"), F.col("claim_class"), learned)
+    columns = ["query_id", "rank", "node", F.round("score", 6).alias("score"), "content", "source_ref", "epistemic", F.round(aged, 6).alias("staleness"), F.round("r", 6).alias("retrievability"), "claim_class", "reliability", "credibility"]
+    results = shown.select(*columns)
+    faded = answers.where("state = 'knew_once'").select("query_id", F.col("once").alias("node")).join(facts, "node")
+    results = results.unionByName(faded.select("query_id", F.lit(1).alias("rank"), "node", F.lit(0.0).alias("score"), F.lit("").alias("content"), "source_ref", "epistemic", F.lit(1.0).alias("staleness"), F.lit(0.0).alias("retrievability"), "claim_class", "reliability", "credibility"))
+    if has("parents") is not None:
+        results = results.join(has("parents").groupBy(F.col("child_id").alias("node")).agg(F.array_sort(F.collect_set("parent_id")).alias("parents")), "node", "left")
+    return answers.select("query_id", "state", F.col("n").alias("candidates"), F.round("best", 6).alias("best"), F.round("coverage", 6).alias("coverage"), F.round("conflict", 6).alias("conflict"), F.round("recollection", 6).alias("recollection"), F.round("familiarity", 6).alias("familiarity"), F.when(F.col("state") == "dont_know", F.col("missing")).alias("missing"), "absent"), results
 
 
 def absent(queries: DataFrame, absences: DataFrame, now: float) -> DataFrame:
     """(query_id, absent): the newest unexpired recorded absence that covers a query.
 
+    Absences with a partition count for queries of that viewer only.
     Candidates share a term; a query is covered where its terms are all in the
     absence or their overlap is over a half.
     """
-    live = absences.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select(F.col("query").alias("absent"), "searched_at", F.array_distinct(text.tokens(F.col("query"))).alias("theirs"))
-    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("mine"))
-    met = asked.withColumn("t", F.explode("mine")).join(live.withColumn("t", F.explode("theirs")), "t").drop("t").dropDuplicates(["query_id", "absent", "searched_at"])
+    scoped = "partition" in absences.columns and "viewer" in queries.columns
+    live = absences.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select(F.col("query").alias("absent"), "searched_at", F.array_distinct(text.tokens(F.col("query"))).alias("theirs"), *([F.col("partition").alias("viewer")] if scoped else []))
+    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("mine"), *(["viewer"] if scoped else []))
+    met = asked.withColumn("t", F.explode("mine")).join(live.withColumn("t", F.explode("theirs")), ["t", "viewer"] if scoped else "t").drop("t").dropDuplicates(["query_id", "absent", "searched_at"])
     covered = met.where((text.jaccard(F.col("mine"), F.col("theirs")) > 0.5) | (F.size(F.array_except("mine", "theirs")) == 0))
     return covered.groupBy("query_id").agg(F.max(F.struct("searched_at", "absent"))["absent"].alias("absent"))
