@@ -165,10 +165,7 @@ def canonical(name: Column) -> Column:
 
 
 def _unit_table() -> dict[str, str]:
-    out = {u: u for u in fixed.UNITS}
-    for unit, names in fixed.UNIT_NAMES.items():
-        out |= {n.replace("_", " "): unit for n in names.split()}
-    return out
+    return {u: u for u in fixed.UNITS} | fixed.UNIT_ALIASES
 
 
 def unit_pattern() -> str:
@@ -239,8 +236,8 @@ def polarity_flip(text: Column) -> Column:
     out = F.array().cast("array<string>")
     for left, right in fixed.OPPOSED:
         for side, other in ((left, right), (right, left)):
-            have = F.arrays_overlap(terms, F.array(*[F.lit(w) for w in side.split()]))
-            out = F.array_union(out, F.when(have, F.array(*[F.lit(w) for w in other.split()])).otherwise(F.array().cast("array<string>")))
+            have = F.arrays_overlap(terms, F.array(*[F.lit(w) for w in sorted(side)]))
+            out = F.array_union(out, F.when(have, F.array(*[F.lit(w) for w in sorted(other)])).otherwise(F.array().cast("array<string>")))
     return F.array_sort(out)
 
 
@@ -283,6 +280,53 @@ def resolve_date(phrase: Column, at: Column) -> Column:
     return F.coalesce(spans, iso(F.coalesce(out, F.when(want >= 0, F.date_add(day, move)))))
 
 
+def rewritten(value: Column, pattern: str, state: Column, step) -> Column:
+    """struct<out, ...state>: value with every match of a pattern replaced, left to right.
+
+    step(state, match) gives a struct whose field `as` is the replacement and
+    whose other fields are the next state; pieces and matches are folded, so
+    nothing is exploded.
+    """
+    hits, rest = F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), F.split(value, pattern, -1)
+    names = [f"s{i}" for i in range(len(state))]
+    zero = F.struct(F.get(rest, F.lit(0)).alias("out"), *[c.alias(n) for c, n in zip(state, names, strict=True)])
+
+    def one(acc: Column, x: Column) -> Column:
+        told = step([acc[n] for n in names], x["h"])
+        return F.struct(F.concat(acc["out"], told[0], x["r"]).alias("out"), *[c.alias(n) for c, n in zip(told[1:], names, strict=True)])
+
+    return F.aggregate(F.zip_with(hits, F.slice(rest, 2, F.greatest(F.lit(0), F.size(rest) - 1)), lambda h, r: F.struct(h.alias("h"), r.alias("r"))), zero, one)
+
+
+def dated(content: Column, seconds: Column) -> Column:
+    """A text with every relative date followed by its absolute one, for a time in seconds (UTC)."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / fixed.DAY).cast("int"))
+    return rewritten(F.coalesce(content, F.lit("")), "(?i)" + fixed.RELATIVE_DATE, [], lambda _, hit: [F.concat(hit, F.coalesce(F.concat(F.lit(" ("), resolve_date(hit, day), F.lit(")")), F.lit("")))])["out"]
+
+
+def standalone(content: Column, seconds: Column, candidates: Column) -> Column:
+    """struct<content, unresolved>: dates made absolute, pronouns named where exactly one unused candidate of a fitting kind is there.
+
+    candidates: array<struct<name, kind>>.  A name stands for one pronoun only;
+    a pronoun that fits none or several stays, and is unresolved with the words
+    that point at a place or time.
+    """
+    kinds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(k) for k in x]) for pair in fixed.PRONOUN_KINDS.items() for x in pair])
+    none = F.array().cast("array<string>")
+
+    def name(state: list[Column], hit: Column) -> list[Column]:
+        used, left = state
+        fits = F.filter(F.coalesce(candidates, F.array().cast("array<struct<name:string,kind:string>>")), lambda c: F.array_contains(F.element_at(kinds, F.lower(hit)), c["kind"]) & ~F.array_contains(used, c["name"]))
+        only = F.when(F.size(fits) == 1, F.get(fits, F.lit(0))["name"])
+        ending = F.when(F.lower(hit).isin(*fixed.POSSESSIVE), "'s").otherwise("")
+        return [F.coalesce(F.concat(only, ending), hit), F.when(only.isNull(), used).otherwise(F.concat(used, F.array(only))), F.when(only.isNull(), F.concat(left, F.array(F.lower(hit)))).otherwise(left)]
+
+    words = r"(?i)\b(" + "|".join(sorted(fixed.PRONOUN_KINDS, key=lambda w: (-len(w), w))) + r")\b"
+    named = let(dated(content, seconds), lambda t: rewritten(t, words, [none, none], name))
+    pointing = F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit("(?i)" + fixed.DEICTIC), F.lit(1)), F.lower)
+    return let(named, lambda x: F.struct(x["out"].alias("content"), F.concat(x["s1"], pointing).alias("unresolved")))
+
+
 def correction_note(original: Column, corrected: Column, by: Column, reason: Column) -> Column:
     """The corrected text with who, why and what it was."""
     why = F.when(F.coalesce(reason, F.lit("")) == "", "").otherwise(F.concat(F.lit(": "), reason))

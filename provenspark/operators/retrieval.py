@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenspark.functions import fixed, memory, text
+from provenspark.sources.store import step
 
 
 def postings(nodes: DataFrame, id_col: str = "id", content: str = "content", partition: str = "partition") -> DataFrame:
@@ -236,7 +237,8 @@ def recall(
     seen = scope(queries, visible)
     terms = query_terms(queries).join(queries.select("query_id", "viewer"), "query_id")
     post = has("post") if has("post") is not None else postings(nodes)
-    held = sought(post, terms).join(states.select("node", "tier"), "node")
+    # three tables are written once and read by all that follows: postings of the queries' terms, scored candidates, answers
+    held = step(sought(post, terms).join(states.select("node", "tier"), "node"), "held")
     live, gone = held.where("tier != 'pruned'").drop("tier"), held.where("tier = 'pruned'").drop("tier")
     cands = scoped_candidates(terms, live, seen, scoped_sizes(nodes, seen))
     hits = has("hits")
@@ -264,7 +266,7 @@ def recall(
     score = score * memory.salience(F.col("r"), F.coalesce("surprise", F.lit(0.0)), F.coalesce("open_loop", F.lit(False)), F.coalesce("acquisition_cost", F.lit(0.0)), weight)
     if typed:
         score = score * text.affinity(F.col("content"), F.col("want")) * text.exactness(F.col("ids"), F.col("asked"))
-    scored = met.withColumn("score", score).drop("ids", "asked")
+    scored = step(met.withColumn("score", score).drop("ids", "asked"), "scored")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "content", "node")
     ranked = scored.withColumn("rank", F.row_number().over(order))
 
@@ -287,7 +289,7 @@ def recall(
         .when((F.col("state") == "dont_know") & F.col("once").isNotNull(), "knew_once")
         .otherwise(F.col("state"))
     )
-    answers = told.withColumn("state", final)
+    answers = step(told.withColumn("state", final), "answers")
 
     most = min(max(1, budget), fixed.MOST_RESULTS)
     take = F.when(F.col("state") == "tip_of_tongue", min(most + 2, fixed.MOST_RESULTS)).when(F.col("state") == "searched_and_absent", 2).otherwise(most)

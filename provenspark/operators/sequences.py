@@ -97,11 +97,22 @@ def reliability_curve(rows: DataFrame, bins: int = 5) -> DataFrame:
     return every.join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "stated", "observed")
 
 
+def running(rows: DataFrame, order: str, value: str, name: str, ranges: int = 200) -> DataFrame:
+    """rows with the sum of value over all rows of a smaller order: sums of ranges between quantiles first, then within a range.
+
+    Rows of equal order must be one row.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)]).alias("_cuts"))  # one row
+    placed = rows.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_total")).withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("_range", "_before")  # at most `ranges` rows
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return placed.withColumn(name, within).join(F.broadcast(totals), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: probability that a positive scores above a negative, ties half, null without both; from ranks of score groups."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count("*").alias("n"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    parts = by.withColumn("neg", F.col("n") - F.col("p")).withColumn("below", F.coalesce(below, F.lit(0.0)))
+    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("p"))
+    parts = running(by, "s", "neg", "below")
     return parts.agg(F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("neg") / 2)), F.sum("p") * F.sum("neg")), 4).alias("auc"))
 
 

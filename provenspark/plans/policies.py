@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from provenspark.operators import graph, ledger, retrieval
@@ -66,12 +64,11 @@ def _(t):
 
 
 def _fresh(t):
-    from provenspark.sources.store import Store
-
-    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="provenspark-store-")
     import uuid
 
-    return Store(t.spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+    from provenspark.sources.store import Store, shared_dir
+
+    return Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
 
 
 def _filled(t):
@@ -101,12 +98,12 @@ def _(t):
     """Stateful segmentation of the conversations as a stream, by role; equals the batch query `episodes`."""
     import uuid
 
+    from provenspark.sources.store import shared_dir
     from provenspark.streaming.segments import segments
 
     source = t.conversations
     stream = t.spark.readStream.schema(source.schema).parquet(f"{t.folder}/conversations.parquet" + ("" if _is_dir(t) else "*"))
-    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="provenspark-stream-")
-    path = f"{folder.rstrip('/')}/segments-{uuid.uuid4().hex}"
+    path = f"{shared_dir(t.spark)}/segments-{uuid.uuid4().hex}"
     found = segments(stream.select(F.col("role").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("content")))
     run = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()  # until all input is read; raises where the stream fails

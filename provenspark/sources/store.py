@@ -2,13 +2,16 @@
 
 Evidence is never updated: every table is a folder of Parquet parts that only
 grows, state is derived by aggregates over event logs, and a redaction hides a
-row on read.  The driver is the only writer; a generation number that moves
-with every append is what caches are keyed by.
+row on read.  A commit writes its parts below folders of its own and becomes
+visible by one marker, so a half-finished or repeated one is never read.  The
+driver is the only writer; a generation number that moves with every commit is
+what caches are keyed by.
 """
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +56,14 @@ TABLES = {
     "claim": "id string, claimant_id string, node_id string, proposition string, prop_hash string, asserted_at double, outcome string",
     "commitment": "id string, partition string, claimant_id string, node_id string, statement string, made_at double, due_at double, status string, resolved_at double, note string",
     "failure": "id string, partition string, approach string, reason string, context string, failed_at double, node_id string, recurrence int, superseded_by string",
+    "claim_outcome": "claim_id string, outcome string, at double",
+    "commitment_event": "commitment_id string, status string, note string, at double",
+    "decision_event": "decision_id string, status string, outcome string, at double",
+    "impact_ack": "impact_id string, status string, outcome string, at double",
+    "intention_event": "intention_id string, status string, at double",
+    "prediction_outcome": "id string, outcome int, at double",
+    "revaluation": "node_id string, confidence double, epistemic string, fate string, cause string, at double",
+    "access_log": "node_id string, at double",
     "belief_divergence": "who string, held_node string, truth_node string, detected_at double, severity double, direction string, resolved_at double",
 }
 #: Tables split by partition on disk, so that a viewer's reads prune to what it may see.
@@ -63,6 +74,14 @@ class ReadOnlyError(RuntimeError):
     """The store was opened for reading."""
 
 
+class PartitionError(ValueError):
+    """A flow that a sealed partition forbids, or a read across a closed boundary."""
+
+
+class MonotonicityError(ValueError):
+    """A conclusion that would outrank its evidence."""
+
+
 class Store:
     """Tables of evidence below one root folder."""
 
@@ -77,33 +96,70 @@ class Store:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self.commits(table))
+
+    def _fs(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commits(self, table: str) -> list[str]:
+        """Folders of a table's committed parts: those that a finished commit's marker names."""
+        jvm, fs = self.spark._jvm, self._fs()
+        markers = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
+        if not fs.exists(markers):
+            return []
+        done = sorted(s.getPath().getName() for s in fs.listStatus(markers))
+        paths = [f"{self._path(table)}/commit={d}" for d in done]
+        return [p for p in paths if fs.exists(jvm.org.apache.hadoop.fs.Path(p))]
 
     def read(self, table: str) -> DataFrame:
-        """A table with its declared columns; empty if nothing was appended, older parts get nulls or the default partition."""
-        if not self.exists(table):
+        """A table with its declared columns; empty if nothing was committed, older parts get nulls or the default partition."""
+        parts = self.commits(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        found = self.spark.read.schema(TABLES[table]).parquet(self._path(table))
+        found = self.spark.read.schema(TABLES[table]).option("basePath", self._path(table)).parquet(*parts).select(*[f.split()[0] for f in TABLES[table].split(", ")])
         return found.withColumn("partition", F.coalesce("partition", F.lit("default"))) if "partition" in found.columns else found
 
+    def one(self, table: str, **key):
+        """The first row whose columns have these values, or None: a point lookup for a person; plans join instead."""
+        found = self.read(table)
+        for name, value in key.items():
+            found = found.where(F.col(name).eqNullSafe(F.lit(value)))
+        return found.first()
+
     def append(self, table: str, rows: DataFrame) -> None:
         """Adds rows, missing columns as nulls; moves the generation."""
+        self.write({table: rows})
+
+    def write(self, changes: dict[str, DataFrame], batch: str | None = None) -> bool:
+        """Several appends as one commit; False if a batch of that name was committed before.
+
+        All parts are written first, below folders named by the commit; a
+        single marker then makes them visible.  A failure before the marker
+        leaves nothing that read() sees, and a batch that is written again
+        under its name adds nothing.
+        """
         if self.readonly:
-            raise ReadOnlyError(table)
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
-        whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        writer = whole.write.mode("append")
-        (writer.partitionBy("partition") if table in BY_PARTITION else writer).parquet(self._path(table))
+            raise ReadOnlyError(", ".join(changes))
+        jvm, fs = self.spark._jvm, self._fs()
+        commit = batch or f"{self._now():020d}-{uuid.uuid4().hex}"
+        marker = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits/{commit}")
+        if fs.exists(marker):
+            return False
+        for table, rows in changes.items():
+            schema = self.spark.createDataFrame([], TABLES[table]).schema
+            whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            writer = whole.write.mode("overwrite")
+            (writer.partitionBy("partition") if table in BY_PARTITION else writer).parquet(f"{self._path(table)}/commit={commit}")
+        fs.create(marker, False).close()
         self.generation += 1
+        return True
 
-    def write(self, changes: dict[str, DataFrame]) -> None:
-        """Several appends as one step: everything is planned and checked before the first part is written."""
-        for table, rows in changes.items():
-            self._path(table)
-            _ = rows.schema
-        for table, rows in changes.items():
-            self.append(table, rows)
+    @staticmethod
+    def _now() -> int:
+        return time.time_ns()
+
+    def count(self, table: str) -> int:
+        return self.read(table).count()
 
     def sql(self, text: str, **values) -> DataFrame:
         """SQL over the tables with named parameters."""
@@ -124,17 +180,61 @@ def observations(store: Store) -> DataFrame:
 def nodes(store: Store) -> DataFrame:
     """Evidence and conclusions as one view."""
     seen = observations(store).select("id", "partition", F.col("observed_at").alias("at"), "content", "source_ref", "origin", "claim_class", "reliability", "credibility", "trust", "valid_from", "valid_to", "affect", F.lit(1.0).alias("confidence"), F.lit("observed").alias("epistemic"), F.lit("observation").alias("kind"))
-    made = store.read("derived").select("id", "partition", F.col("created_at").alias("at"), "content", F.col("producer").alias("source_ref"), F.lit("derived").alias("origin"), F.lit("unknown").alias("claim_class"), F.lit("F").alias("reliability"), F.lit(6).alias("credibility"), F.lit("trusted").alias("trust"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_to"), F.lit(0.0).alias("affect"), "confidence", F.col("epistemic_tag").alias("epistemic"), "kind")
+    made = conclusions(store).select("id", "partition", F.col("created_at").alias("at"), "content", F.col("producer").alias("source_ref"), F.lit("derived").alias("origin"), F.lit("unknown").alias("claim_class"), F.lit("F").alias("reliability"), F.lit(6).alias("credibility"), F.lit("trusted").alias("trust"), F.lit(None).cast("double").alias("valid_from"), F.lit(None).cast("double").alias("valid_to"), F.lit(0.0).alias("affect"), "confidence", F.col("epistemic_tag").alias("epistemic"), "kind")
     return seen.unionByName(made)
 
 
-def step(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again, to cut an iteration's lineage."""
-    spark = df.sparkSession
+def current(rows: DataFrame, events: DataFrame, key: str, columns: list[str], order: str = "at") -> DataFrame:
+    """rows (id, ...) with columns as the latest event of each id says, else as they were."""
+    latest = events.groupBy(F.col(key).alias("id")).agg(F.max_by(F.struct(*columns), order).alias("_new"))
+    met = rows.join(latest, "id", "left")
+    return met.select(*[F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def claims(store: Store) -> DataFrame:
+    return current(store.read("claim"), store.read("claim_outcome"), "claim_id", ["outcome"])
+
+
+def commitments(store: Store) -> DataFrame:
+    return current(store.read("commitment"), store.read("commitment_event"), "commitment_id", ["status", "note"])
+
+
+def decisions(store: Store) -> DataFrame:
+    """Decisions with their latest status and outcome; an executed one can no longer be reversed."""
+    found = current(store.read("decision"), store.read("decision_event"), "decision_id", ["status", "outcome"])
+    return found.withColumn("reversible_until", F.when(F.col("status") != "executed", F.col("reversible_until")))
+
+
+def intentions(store: Store) -> DataFrame:
+    return current(store.read("intention"), store.read("intention_event"), "intention_id", ["status"])
+
+
+def impacts(store: Store) -> DataFrame:
+    """Impacts with the time of their first acknowledgement."""
+    done = store.read("impact_ack").groupBy(F.col("impact_id").alias("id")).agg(F.min("at").alias("_done"))
+    return store.read("decision_impact").join(done, "id", "left").withColumn("acknowledged_at", F.coalesce("_done", "acknowledged_at")).drop("_done")
+
+
+def conclusions(store: Store) -> DataFrame:
+    """Derived nodes at their latest revaluation."""
+    latest = store.read("revaluation").groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct("confidence", "epistemic"), F.struct("at", -F.col("confidence"))).alias("_new"))
+    met = store.read("derived").join(latest, "id", "left")
+    return met.withColumn("confidence", F.coalesce("_new.confidence", "confidence")).withColumn("epistemic_tag", F.coalesce("_new.epistemic", "epistemic_tag")).drop("_new")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of our own where that is unset and all tasks run in this process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("provenspark.steps.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="provenspark-steps-")
         spark.conf.set("provenspark.steps.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def step(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read again, to cut an iteration's lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

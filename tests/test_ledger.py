@@ -62,24 +62,61 @@ def test_recall_respects_partitions(spark, store):
 
 
 def test_pack_round_trip(spark, store, tmp_path):
+    seen = store.read("observation")
+    store.write({"exposure": seen.where("content like 'Depot%'").select(F.lit("ahmed").alias("who"), F.col("id").alias("node_id"), F.lit(NOW).alias("at"), F.lit("briefing").alias("channel"), F.lit(0.5).alias("depth"))}, "told")
     pack = handover.export(store, "field", "me", NOW)
-    path = handover.write(pack, str(tmp_path / "p.json.gz"))
-    again = handover.read(path)
-    assert again == pack and pack["manifest"]["counts"]["observations"] == 3
-    assert "## observed -> reported" in handover.review(again)
+    path = handover.write(spark, pack, "file://" + str(tmp_path / "p"), compress=True)
+    again = handover.read(spark, path)
+    assert again.manifest == pack.manifest and pack.manifest["counts"]["observations"] == 3 and pack.manifest["counts"]["edges"] == 1
+    assert "## observed -> reported" in (tmp_path / "p" / "review.md").read_text()
     other = Store(spark, "file://" + str(tmp_path / "other"))
+    assert {(r.part, r.tag, r.admitted_as, r.n) for r in handover.dry_run(other, again, "inbox").collect()} >= {("observations", "observed", "reported", 3)}
     tables, dropped = handover.graft(other, again, "peer", "inbox", NOW)
     other.write(tables)
     assert other.read("observation").count() == 3
+    edge, told = other.one("derivation_edge"), other.one("exposure", who="ahmed")
+    assert other.one("derived", id=edge["child_id"])["kind"] == "graft"
+    assert other.one("observation", id=edge["parent_id"])["content"].startswith("Depot") and told["node_id"] == edge["parent_id"]
+    assert other.one("observation", id="obs_none") is None
     tables, _ = handover.graft(other, again, "peer", "inbox", NOW)
     assert tables["observation"].count() == 0
     with pytest.raises(handover.HandoverError):
         handover.export(store, "vault", "me", NOW)
-    text = (tmp_path / "bad.json")
-    pack["observations"][0]["content"] = "changed"
-    handover.write(pack, str(text))
+    changed = handover.Pack(pack.manifest, pack.tables | {"observations": pack.tables["observations"].withColumn("content", F.lit("changed"))})
     with pytest.raises(handover.HandoverError):
-        handover.read(str(text))
+        handover.read(spark, handover.write(spark, changed, "file://" + str(tmp_path / "bad")))
+    with pytest.raises(handover.HandoverError):
+        handover.read(spark, "file://" + str(tmp_path / "none"))
+
+
+def test_a_failed_commit_shows_nothing_and_a_repeated_one_adds_nothing(spark, tmp_path):
+    s = Store(spark, "file://" + str(tmp_path / "s"))
+    good = spark.createDataFrame([("a", "b", NOW)], "who string, node_id string, at double")
+    bad = spark.createDataFrame([("x",)], "who string").select(F.raise_error(F.lit("lost")).alias("node_id"))
+    with pytest.raises(Exception, match="lost"):
+        s.write({"exposure": good, "review_event": bad})
+    assert s.count("exposure") == 0 and s.generation == 0
+    assert s.write({"exposure": good}, "batch-1") and not s.write({"exposure": good}, "batch-1")
+    assert s.count("exposure") == 1 and s.generation == 1
+
+
+def test_a_hidden_row_changes_nothing(spark, store, tmp_path):
+    """What a viewer may not read moves neither frequencies nor coverage nor the best score, and no absence of others answers."""
+    s = Store(spark, "file://" + str(tmp_path / "scoped"))
+    s.append("partition", spark.createDataFrame([("field", False, NOW), ("secret", False, NOW)], "name string, sealed boolean, created_at double"))
+    rows = [("Depot north holds 4000 litres of fuel", "field"), ("Convoy route is open near the bridge", "field")]
+    one = lambda r: spark.createDataFrame([(c, p, "conv:x", "document") for c, p in r], "content string, partition string, source_ref string, origin string")
+    s.write(ledger.observe(s, one(rows), NOW))
+    asked = spark.createDataFrame([(1, "fuel depot helicopter", "field"), (2, "submarine torpedo", "field"), (3, "", "field")], "query_id int, query string, viewer string")
+
+    def told():
+        answers, results = ledger.recall(s, asked, NOW + 60)
+        return sorted(map(str, answers.collect())), sorted(map(str, results.collect()))
+
+    before = told()
+    s.write(ledger.observe(s, one([("fuel depot helicopter submarine torpedo", "secret"), ("fuel fuel depot", "secret")]), NOW))
+    s.append("absence", spark.createDataFrame([("a", "secret", "submarine torpedo", NOW)], "id string, partition string, query string, searched_at double"))
+    assert told() == before
 
 
 def test_suppress_and_redact(spark, store):
