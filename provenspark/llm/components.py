@@ -16,10 +16,17 @@ from provenspark.llm.shared import cut, forget, parts
 
 
 def _hung(edges: DataFrame, least: DataFrame, hot: float) -> DataFrame:
-    """edges (u, v) with the minimum m of their node u; least: (u, m, d) with the node's number of edges d."""
-    hubs = least.where(F.col("d") >= hot).select("u", "m")
-    others = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("d") < hot).select("u", "m"), "u")
-    return edges.join(F.broadcast(hubs), "u").unionByName(others)
+    """edges (u, v) with the minimum m of their node u; least: (u, m, d) with the node's number of edges d.
+
+    Nodes of `hot` edges and more, no more than there are partitions, are named
+    first; their minima go out to the edges, which are not shuffled for them.
+    """
+    hubs = least.where(F.col("d") >= hot).select("u", "m").collect()  # at most as many rows as partitions
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u")
+    few = F.broadcast(edges.sparkSession.createDataFrame(hubs, least.select("u", "m").schema))
+    others = edges.join(few.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return edges.join(few, "u").unionByName(others)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
