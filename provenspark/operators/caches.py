@@ -23,7 +23,7 @@ def shard_sizes(post: DataFrame) -> DataFrame:
     """(partition, terms, nodes, bits): distinct terms and nodes of each partition, and the size of its filter."""
     g = post.groupBy("partition").agg(F.countDistinct("term").alias("terms"), F.countDistinct("node").alias("nodes"))
     power = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col("terms") * BITS)))).cast("int")
-    return g.withColumn("bits", F.shiftleft(F.lit(1).cast("long"), power))
+    return g.withColumn("bits", F.call_function("shiftleft", F.lit(1).cast("long"), power))
 
 
 def vocabulary_filters(post: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def vocabulary_filters(post: DataFrame) -> DataFrame:
     """
     placed = post.select("partition", "term").distinct().join(F.broadcast(shard_sizes(post).select("partition", "bits")), "partition")  # one row a partition
     at = placed.select("partition", "bits", F.explode(_places(F.col("term"), F.col("bits"))).alias("p"))
-    return at.groupBy("partition", "bits", F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("mask"))
+    return at.groupBy("partition", "bits", F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("mask"))
 
 
 def merge_filters(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def possible(terms: DataFrame, filters: DataFrame) -> DataFrame:
     asked = terms.select("query_id", "term", F.col("owner").alias("partition")).join(F.broadcast(sizes), "partition", "left")  # one row a partition
     at = asked.select("query_id", "term", "partition", F.explode_outer(F.when(F.col("bits").isNotNull(), _places(F.col("term"), F.col("bits")))).alias("p"))
     at = at.withColumn("word", F.floor(F.col("p") / 64)).join(filters.select("partition", "word", "mask"), ["partition", "word"], "left")
-    hit = F.coalesce(F.shiftright(F.col("mask"), F.pmod("p", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    hit = F.coalesce(F.call_function("shiftright", F.col("mask"), F.pmod("p", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return at.groupBy("query_id", "term", "partition").agg(F.min(hit).alias("possible"))
 
 

@@ -266,7 +266,8 @@ def recall(
     score = score * memory.salience(F.col("r"), F.coalesce("surprise", F.lit(0.0)), F.coalesce("open_loop", F.lit(False)), F.coalesce("acquisition_cost", F.lit(0.0)), weight)
     if typed:
         score = score * text.affinity(F.col("content"), F.col("want")) * text.exactness(F.col("ids"), F.col("asked"))
-    scored = step(met.withColumn("score", score).drop("ids", "asked"), "scored")
+    # scores that agree to nine places are equal, however the sums were ordered
+    scored = step(met.withColumn("score", F.round(score, 9)).drop("ids", "asked"), "scored")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "content", "node")
     ranked = scored.withColumn("rank", F.row_number().over(order))
 

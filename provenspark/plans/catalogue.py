@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenspark.plans import graphs, policies, registry, scoreboard, stats, texts  # noqa: F401
+from provenspark.plans import graphs, policies, records, registry, scoreboard, stats, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

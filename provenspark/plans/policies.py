@@ -34,11 +34,12 @@ def _(t):
     return ledger.converge(t.documents.select((F.col("doc_id") % 3).alias("operator"), F.col("source").alias("source_ref"), F.col("text").alias("content")))
 
 
-@query("prior_failures", f"""WITH p AS (SELECT item_id, list_distinct({toks("text")}) AS a FROM benchmark), f AS (SELECT doc_id, list_distinct({toks("text")}) AS b FROM documents WHERE n_chars < 1500),
-s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM p, f) SELECT item_id AS proposal_id, doc_id AS failure_id, round(i / (n - i), 6) AS similarity FROM s WHERE n > i AND i / (n - i) >= 0.25""")
+@query("prior_failures", f"""WITH p AS (SELECT item_id, list_distinct({toks("text")}) AS a FROM benchmark), f AS (SELECT doc_id, list_distinct({toks("text")}) AS b FROM documents),
+pu AS (SELECT item_id, len(a) AS na, unnest(a) AS t FROM p), fu AS (SELECT doc_id, len(b) AS nb, unnest(b) AS t FROM f),
+s AS (SELECT item_id, doc_id, count(*) AS i, na + nb AS n FROM pu JOIN fu USING (t) GROUP BY item_id, doc_id, na, nb) SELECT item_id AS proposal_id, doc_id AS failure_id, round(i / (n - i), 6) AS similarity FROM s WHERE i / (n - i) >= 0.25""")
 def _(t):
     mine = t.benchmark.select(F.col("item_id").alias("proposal_id"), F.col("text").alias("proposal"))
-    theirs = t.documents.where("n_chars < 1500").select(F.col("doc_id").alias("id"), F.col("text").alias("approach"), F.lit(None).cast("string").alias("superseded_by"))
+    theirs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("approach"), F.lit(None).cast("string").alias("superseded_by"))
     return ledger.prior_failures(mine, theirs, 0.25).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -188,7 +188,7 @@ def _(t):
 
 @query(
     "coup_windows",
-    """WITH RECURSIVE a AS (SELECT user_id % 5 AS src, epoch(ts)::DOUBLE / 20 AS tm, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch(ts)) AS rn FROM events WHERE user_id < 20),
+    """WITH RECURSIVE a AS (SELECT user_id AS src, epoch(ts)::DOUBLE / 400 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)) AS rn FROM events),
 f(src, rn, tm, ok, allowed) AS (
   SELECT src, rn, tm, [tm], true FROM a WHERE rn = 1
   UNION ALL
@@ -197,7 +197,7 @@ f(src, rn, tm, ok, allowed) AS (
 SELECT src, count(*) AS attempts, count(*) FILTER (allowed) AS allowed FROM f GROUP BY src""",
 )
 def _(t):
-    rows = t.events.where("user_id < 20").select((F.col("user_id") % 5).alias("src"), (F.col("ts").cast("timestamp").cast("double") / 20).alias("at"))
+    rows = t.events.select(F.col("user_id").alias("src"), (F.col("ts").cast("timestamp").cast("double") / 400).alias("at"))
     return sequences.coup(rows, "src").groupBy("src").agg(F.count("*").alias("attempts"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
 
 
@@ -265,7 +265,33 @@ def _(t):
     return rows.select("id", memory.gate(F.col("n"), F.col("f"), F.col("best"), F.col("r"), F.col("c"), F.col("rec"), F.col("has").cast("boolean")).alias("state"))
 
 
-@query("stream_batches", "SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _streamed(t, plan):
+    """The last result of a streaming aggregate over the events, all of them read, written by the executors."""
+    import uuid
+
+    from provenspark.sources.store import shared_dir
+
+    rows = t.events
+    path = f"{shared_dir(t.spark)}/batches-{uuid.uuid4().hex}"
+    found = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/events.parquet")
+    several = found.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+    stream = t.spark.readStream.schema(rows.schema).parquet(f"{t.folder}/events.parquet" + ("" if several else "*"))
+    told = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    run = told.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows-{n}")).option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress)
+    return t.spark.read.schema(told.schema).parquet(f"{path}/rows-{last}")
+
+
+@query("stream_batches", "SELECT to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP AS start, event_type AS partition, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    g = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    from provenspark.streaming.segments import batches
+
+    return _streamed(t, lambda s: batches(s.withColumnRenamed("event_type", "partition"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_attempts", f"""WITH e AS (SELECT user_id, ts, unnest(range(0, 12)) AS k FROM events) SELECT to_timestamp(floor(epoch(ts) / 300) * 300 - k * 300)::TIMESTAMP AS start, user_id AS source_ref, count(*) AS n, count(*) > {fixed.COUP_LIMIT} AS alarm FROM e GROUP BY ALL""")
+def _(t):
+    from provenspark.streaming.segments import attempts
+
+    return _streamed(t, lambda s: attempts(s.withColumnRenamed("user_id", "source_ref"))).withColumn("start", F.col("start").cast("timestamp_ntz"))

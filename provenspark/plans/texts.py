@@ -70,11 +70,11 @@ def _(t):
 @query(
     "coverage",
     f"""WITH qt AS (SELECT item_id AS q, unnest(list_distinct({toks("text")})) AS term FROM benchmark),
-known AS (SELECT DISTINCT unnest({toks("text")}) AS term FROM documents WHERE doc_id % 3 = 0)
+known AS (SELECT DISTINCT unnest({toks("text")}) AS term FROM conversations)
 SELECT q AS query_id, round(count(known.term) / count(*), 6) AS coverage FROM qt LEFT JOIN known USING (term) GROUP BY q""",
 )
 def _(t):
-    post = retrieval.postings(documents(t).where("id % 3 = 0"))
+    post = retrieval.postings(t.conversations.select(F.struct("conv_id", "turn").alias("id"), F.col("role").alias("partition"), F.col("text").alias("content")))
     terms = retrieval.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
     return retrieval.coverage(terms, post).withColumn("coverage", F.round("coverage", 6))
 

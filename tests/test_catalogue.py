@@ -41,6 +41,20 @@ def test_a_slow_stream_is_waited_for(spark, small, monkeypatch):
     assert found.inputFiles()
 
 
+def test_components_equal_union_find(spark, small):
+    least = {}
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_orderkey").distinct().collect():
+        p, q = sorted((find(f"p{r.l_partkey}"), find(f"o{r.l_orderkey}")))
+        least[q] = p
+    assert {r.node: r.component for r in QUERIES["components"](spark, small).collect()} == {n: find(n) for n in least}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
