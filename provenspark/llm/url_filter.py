@@ -153,7 +153,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     names = parents(rows.select("host").distinct(), suffixes)
     for level, known in reputations(outcomes, suffixes).items():
         names = names.join(known.select(level, F.struct("mean", "bound").alias(f"by_{level}")), level, "left")
-    names = names.select("host", F.coalesce("by_host", "by_domain", "by_suffix").alias("by")).select("host", F.col("by.mean").alias("bad_rate"), F.col("by.bound").alias("bound"))
+    # hosts with their numbers are a table of known size: small ones go out to the pages, else the planner splits the pages of a hot host
+    names = cut(names.select("host", F.coalesce("by_host", "by_domain", "by_suffix").alias("by")).select("host", F.col("by.mean").alias("bad_rate"), F.col("by.bound").alias("bound")), "names")
     judged = with_rules(rows, rules).join(names, "host", "left")
     verdict = F.coalesce("action", F.when(F.col("bound") > most, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_rate", "bound")
