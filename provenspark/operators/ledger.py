@@ -6,7 +6,7 @@ ids are made from content and keys, so repeating a batch makes the same ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenspark.functions import fixed, memory, text
@@ -232,26 +232,90 @@ def audit(store: Store) -> DataFrame:
     return out
 
 
-def doctor(store: Store) -> DataFrame:
-    """(check, status, detail): one row per check, read-only."""
-    names = ["monotonic", "untestable_hypothesis", "kind_tag_mismatch", "untraceable_fact", "orphan_edge", "unindexed", "partition_disagrees", "flow_violation"]
-    counts = audit(store).groupBy("check").agg(F.count("*").alias("n"))
-    base = store.spark.createDataFrame([(n,) for n in names], "check string").join(counts, "check", "left")
-    queue = store.read("embed_queue").agg(F.lit("queue_abandoned").alias("check"), F.sum((F.col("attempts") >= 3).cast("long")).alias("n"))
-    impacts = store.read("decision_impact").agg(F.lit("impacts_open").alias("check"), F.sum(F.col("acknowledged_at").isNull().cast("long")).alias("n"))
-    models = store.read("vector").agg(F.lit("single_model").alias("check"), F.greatest(F.lit(0), F.countDistinct("model") - 1).alias("n"))
-    every = base.unionByName(queue).unionByName(impacts).unionByName(models).na.fill({"n": 0})
-    return every.select("check", F.when(F.col("n") == 0, "pass").when(F.col("check").isin("impacts_open", "queue_abandoned"), "warn").otherwise("fail").alias("status"), F.concat(F.col("n").cast("string"), F.lit(" found")).alias("detail"))
+def doctor(store: Store, **about) -> DataFrame:
+    """(check, title, status, detail, remedy): one row per check, read-only; about: model, semantic, calibration, keyfile."""
+    from provenspark.operators import diagnostics
 
+    return diagnostics.run(store, **about)
+
+
+def confusable(rows: DataFrame, near: int = 25, least: float = 0.6) -> DataFrame:
+    """(a, b, similarity): texts of a partition written fewer than `near` rows apart, of different content, whose tokens overlap more than that.
+
+    rows: id, partition, at, content.  Rows are numbered within a partition and
+    met by number in blocks of `near`, so no row meets more than two blocks.
+    """
+    order = Window.partitionBy("partition").orderBy(F.col("at").desc(), "id")
+    numbered = rows.select("id", "partition", "content", F.array_distinct(text.tokens(F.col("content"))).alias("t"), F.row_number().over(order).alias("rn")).withColumn("block", F.floor(F.col("rn") / near))
+    one = numbered.select("partition", F.col("id").alias("a"), F.col("content").alias("ca"), F.col("t").alias("ta"), F.col("rn").alias("ra"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    two = numbered.select("partition", F.col("id").alias("b"), F.col("content").alias("cb"), F.col("t").alias("tb"), F.col("rn").alias("rb"), "block")
+    met = one.join(two, ["partition", "block"]).where(f"rb > ra and rb < ra + {near} and ca != cb")
+    return met.select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") > least)
+
+
+def schemas(rows: DataFrame, least: int = 3) -> DataFrame:
+    """(schema, members, deltas): texts that differ only in their varying parts, from `least` of one form on; rows: id, content."""
+    g = rows.withColumn("schema", text.schema_of(F.col("content"))).groupBy("schema").agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct("id", text.deltas_of(F.col("content")).alias("d")))).alias("deltas"))
+    return g.where(F.col("members") >= least)
+
+
+def verification_queue(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, priority): what to verify first; rows: id, score, reliability, credibility, dependents."""
+    doubt = 1 - memory.admiralty(F.col("reliability"), F.col("credibility"))
+    out = rows.select("id", F.round(F.col("score") * doubt * F.when(F.col("dependents") > 0, 1.0).otherwise(0.5), 4).alias("priority"))
+    return out if most is None else out.orderBy(F.col("priority").desc(), "id").limit(most)
+
+
+def quarantine(store: Store, most: int = 25) -> DataFrame:
+    """(id, content, source_ref, trust, verdict, score, signals): untrusted evidence with what its screen said, newest first."""
+    held = observations(store).where("trust != 'trusted'").select("id", "content", "source_ref", "trust", "observed_at")
+    screens = store.read("write_screen").select(F.col("node_id").alias("id"), "verdict", "score", "signals")
+    return held.join(screens, "id", "left").orderBy(F.col("observed_at").desc(), "id").limit(most).drop("observed_at")
+
+
+def divergence(store: Store, now: float) -> DataFrame:
+    """(who, held_node, truth_node, severity, direction): people who were told something that was superseded, and not what replaced it."""
+    told = store.read("exposure")
+    old = store.read("supersession").select("old_node", "new_node", "claim_class", F.col("at").alias("changed"))
+    holds = sequences.retention(told.withColumnRenamed("node_id", "node"), F.lit(now))
+    met = old.join(holds.select("who", F.col("node").alias("old_node"), "retrievability", "last"), "old_node")
+    met = met.join(told.select("who", F.col("node_id").alias("new_node")).distinct(), ["who", "new_node"], "left_anti")
+    present = met.join(store.read("exposure").where("channel = 'conversation'").select("who", F.col("node_id").alias("old_node"), F.lit(True).alias("present")).distinct(), ["who", "old_node"], "left")
+    stale = memory.staleness(F.lit(now) - F.col("changed"), F.col("claim_class"))
+    side = memory.stale_side(F.lit(now) - F.col("last"), F.coalesce("present", F.lit(False)), F.lit(now) - F.col("changed"), F.lit(1.0))
+    return present.select("who", F.col("old_node").alias("held_node"), F.col("new_node").alias("truth_node"), F.round(memory.divergence_severity(F.col("retrievability"), stale), 6).alias("severity"), side.alias("direction"))
+
+
+def tend(store: Store, now: float, grace: float = 0.0, partition: str | None = None) -> dict[str, DataFrame]:
+    """One maintenance pass as independent plans, to be written or looked at by who runs it.
+
+    Tiers, duplicates, confusable texts, schemas, compression, sleep phases,
+    criticality, intentions whose time passed more than `grace` seconds ago,
+    contextless texts, texts that wait for a vector, learned half-lives.
+    """
+    from provenspark.operators import record
+    from provenspark.operators.context import compression_plan
+    from provenspark.sources.store import intentions
 
-def tend(store: Store, now: float) -> dict[str, DataFrame]:
-    """One maintenance pass as independent plans: tiers, duplicates, confusable texts, criticality, overdue intentions, contextless texts."""
     seen = observations(store)
-    edges, basis = store.read("derivation_edge"), store.read("decision_basis")
+    seen = seen if partition is None else seen.where(F.col("partition") == partition)
+    state = step(states(store, now), "states")
+    pairs = step(confusable(seen.select("id", "partition", F.col("observed_at").alias("at"), "content")), "confusable")
+    rebuilt = seen.join(state.select(F.col("node").alias("id"), "tier"), "id").select("id", "claim_class", "tier", "content", F.lit(None).cast("string").alias("rebuilt"))
+    by = seen.groupBy("partition").agg(F.count("*").alias("n"), F.max("observed_at").alias("last"))
+    confused = pairs.join(seen.select(F.col("id").alias("a"), "partition"), "a").groupBy("partition").agg(F.count("*").alias("confusable"))
+    owed = by.join(confused, "partition", "left").na.fill({"confusable": 0})
+    phase = sleep_plan(F.col("n"), F.col("confusable") / F.greatest(F.col("n"), F.lit(1)), (F.lit(now) - F.col("last")) / 3600, F.col("confusable"), F.col("n") - F.col("confusable"))
     return {
-        "tiers": states(store, now).select("node", "tier"),
+        "tiers": state.select("node", "tier"),
         "duplicates": seen.groupBy("partition", "content_hash").agg(F.count("*").alias("copies"), F.min("id").alias("keep")).where("copies > 1"),
-        "criticality": graph.criticality(edges, basis),
-        "expired": store.read("intention").where((F.col("trigger_kind") == "time") & (F.col("status") == "pending") & (F.col("trigger_spec").cast("double") < now)).select("id", F.lit("expired").alias("status")),
+        "confusable": pairs,
+        "schemas": schemas(seen.select("id", "content")),
+        "compression": compression_plan(rebuilt),
+        "sleep": owed.select("partition", phase.alias("phase")),
+        "criticality": record.recompute_criticality(store, now)["criticality"],
+        "expired": intentions(store).where((F.col("trigger_kind") == "time") & (F.col("status") == "pending") & (F.col("trigger_spec").cast("double") < now - grace)).select(F.col("id").alias("intention_id"), F.lit("expired").alias("status"), F.lit(now).alias("at")),
         "decontext": seen.where(text.needs_context(F.col("content"))).select("id", "content"),
+        "queue": record.queue_depth(store),
+        "half_lives": sequences.half_life(store.read("supersession")),
     }

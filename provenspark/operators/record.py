@@ -75,6 +75,11 @@ def claimants(rows: DataFrame, now: float) -> DataFrame:
     return named.groupBy("partition", "canonical").agg(F.min("name").alias("name"), F.min("kind").alias("kind")).select(made_id("who", "partition", "canonical").alias("id"), "partition", "name", "canonical", "kind", F.lit(now).alias("first_seen"))
 
 
+def people(store: Store) -> DataFrame:
+    """Claimants by id, under the name they were first known by; every batch that names one adds a row."""
+    return store.read("claimant").groupBy("id").agg(F.min(F.struct("first_seen", "name", "canonical", "kind", "partition")).alias("f")).select("id", "f.*")
+
+
 def claimed(rows: DataFrame, now: float) -> dict[str, DataFrame]:
     """Claims (who, kind, partition, proposition, node_id): the claimant and the proposition's identity."""
     named = rows.withColumn("name", F.col("who"))
@@ -88,7 +93,7 @@ def claimed(rows: DataFrame, now: float) -> dict[str, DataFrame]:
 def who_claims(store: Store, propositions: DataFrame) -> DataFrame:
     """(proposition, claimant_id, name, asserted_at, outcome) of everyone who claimed the same."""
     asked = propositions.select("proposition", text.proposition_hash(F.col("proposition")).alias("prop_hash"))
-    return asked.join(claims(store).drop("proposition"), "prop_hash").join(store.read("claimant").select(F.col("id").alias("claimant_id"), "name"), "claimant_id").select("proposition", "claimant_id", "name", "asserted_at", "outcome")
+    return asked.join(claims(store).drop("proposition"), "prop_hash").join(people(store).select(F.col("id").alias("claimant_id"), "name"), "claimant_id").select("proposition", "claimant_id", "name", "asserted_at", "outcome")
 
 
 def claim_outcomes(rows: DataFrame, now: float) -> dict[str, DataFrame]:

@@ -328,3 +328,25 @@ def absent(queries: DataFrame, absences: DataFrame, now: float) -> DataFrame:
     met = asked.withColumn("t", F.explode("mine")).join(live.withColumn("t", F.explode("theirs")), ["t", "viewer"] if scoped else "t").drop("t").dropDuplicates(["query_id", "absent", "searched_at"])
     covered = met.where((text.jaccard(F.col("mine"), F.col("theirs")) > 0.5) | (F.size(F.array_except("mine", "theirs")) == 0))
     return covered.groupBy("query_id").agg(F.max(F.struct("searched_at", "absent"))["absent"].alias("absent"))
+
+
+def counter_evidence(questions: DataFrame, notes: DataFrame, replaced: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(query_id, node, strength): notes that share terms with what a question takes for granted and deny or oppose it.
+
+    questions (query_id, query), notes (node, content).  A denial counts by the
+    share of the premise's terms it has, an opposed word a fifth more.  replaced
+    (old_node, new_node): what superseded a note that shares the premise counts
+    against it in full.
+    """
+    asked = questions.select("query_id", text.presupposition(F.col("query")).alias("p"))
+    asked = asked.select("query_id", "p", text.counter_terms(F.col("p")).alias("pt"), text.polarity_flip(F.col("p")).alias("flips"), text.negated(F.col("p")).alias("pn"))
+    told = notes.select("node", text.counter_terms(F.col("content")).alias("nt"), text.negated(F.col("content")).alias("nn"))
+    shared = asked.select("query_id", F.explode("pt").alias("t")).join(told.select("node", F.explode("nt").alias("t")), "t").groupBy("query_id", "node").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = shared.join(asked, "query_id").join(told, "node")
+    share = F.col("shared") / F.size("pt")
+    strength = F.greatest(F.when(F.col("pn") != F.col("nn"), share).otherwise(0.0), F.when(F.arrays_overlap("nt", "flips"), F.least(F.lit(1.0), share + 0.2)).otherwise(0.0))
+    out = met.select("query_id", "node", strength.alias("strength")).where("strength > 0")
+    if replaced is not None:
+        newer = shared.select("query_id", F.col("node").alias("old_node")).join(replaced.select("old_node", "new_node"), "old_node").select("query_id", F.col("new_node").alias("node"), F.lit(1.0).alias("strength"))
+        out = out.unionByName(newer)
+    return out.groupBy("query_id", "node").agg(F.round(F.max("strength"), 6).alias("strength"))

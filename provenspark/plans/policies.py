@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenspark.operators import graph, ledger, retrieval
+from provenspark.operators import diagnostics, graph, ledger, retrieval
 from provenspark.plans.graphs import EDGES, edges
-from provenspark.plans.registry import query, values
-from provenspark.plans.texts import toks
+from provenspark.plans.registry import ORACLES, query, values
+from provenspark.plans.stats import SURPRISE  # noqa: F401 - registers the queries that this module builds on
+from provenspark.plans.texts import _screened, toks
 from provenspark.sources import handover
 
+DOCUMENT = "'document'"
 TAG = "CASE quality WHEN 1 THEN CASE toxic WHEN 1 THEN 'inferred' ELSE 'observed' END ELSE CASE toxic WHEN 1 THEN 'hypothesized' ELSE 'reported' END END"
 
 
@@ -89,12 +91,20 @@ def _(t):
     return answers
 
 
-@query("store_doctor")
+DOCTOR = [
+    ("store.path", "pass"), ("substrate.provenance_intact", "pass"), ("substrate.indexed", "pass"), ("substrate.append_only", "pass"), ("epistemics.monotonic", "pass"), ("embedder.present", "pass"), ("embedder.semantic", "pass"),
+    ("embedder.calibrated", "warn"), ("vectors.single_model", "pass"), ("vectors.coverage", "fail"), ("queue.pending", "pass"), ("queue.abandoned", "pass"), ("defence.self_audit", "pass"), ("decisions.impacts_acknowledged", "pass"),
+    ("shards.layout", "pass"), ("shards.partition_agrees", "pass"),
+]
+
+
+@query("store_doctor", f"SELECT * FROM ({values(DOCTOR)}) AS v(\"check\", status) UNION ALL SELECT 'defence.quarantine_reviewed', CASE WHEN bool_or(verdict <> 'clean') THEN 'warn' ELSE 'pass' END FROM ({_screened('documents', 'doc_id', 'text', DOCUMENT)})")
 def _(t):
-    return ledger.doctor(_filled(t))
+    """All checks of a store of all documents that has no vector yet."""
+    return diagnostics.run(_filled(t), model="model").select("check", "status")
 
 
-@query("stream_segments")
+@query("stream_segments", ORACLES["episodes"].replace("s.part AS role, s.o,", "s.part AS part, s.o AS seq,"))
 def _(t):
     """Stateful segmentation of the conversations as a stream, by role; equals the batch query `episodes`."""
     import uuid
@@ -108,7 +118,7 @@ def _(t):
     found = segments(stream.select(F.col("role").alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("content")))
     run = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()  # until all input is read; raises where the stream fails
-    return t.spark.read.schema(found.schema).parquet(f"{path}/rows")
+    return t.spark.read.schema(found.schema).parquet(f"{path}/rows").withColumn("surprise", F.round("surprise", 6))
 
 
 def _is_dir(t) -> bool:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenspark.functions import fixed, memory, text
-from provenspark.operators import graph, ledger, sequences
+from provenspark.operators import ledger, record, retrieval, sequences, vectors
 from provenspark.plans.policies import _fresh
-from provenspark.plans.registry import Tables, query
+from provenspark.plans.registry import Tables, query, values
+from provenspark.sources.store import conclusions, impacts
 
 NOW = 1.7e9
 #: Superseded wording, current wording, question.
@@ -49,7 +51,14 @@ def _measure(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("metric"), F.round(F.col(df.columns[0]).cast("double"), 4).alias("value"))
 
 
-@query("scoreboard")
+#: What each measure must come to; the engine's rows are held against them.
+TARGETS = [
+    ("rescue", 1.0), ("inverse_rescue", 1.0), ("source_attribution", 1.0), ("identifier_precision", 1.0), ("confabulation", 0.0), ("injection_containment", 1.0), ("flooding_resistance", 1.0),
+    ("staleness_accuracy", 1.0), ("epistemic_leakage", 0.0), ("blast_radius_completeness", 1.0), ("consequence_recall", 1.0), ("fusion_false_merge", 1.0), ("interference_top1", 1.0),
+]
+
+
+@query("scoreboard", f"SELECT metric, value::DOUBLE AS value FROM ({values(TARGETS)}) AS v(metric, value)")
 def scoreboard(t: Tables) -> DataFrame:
     store = _filled(t)
     asked = [(i, q, "yard", FACTS[i][1], FACTS[i][0]) for i, (_, _, q) in enumerate(FACTS)]
@@ -81,18 +90,65 @@ def scoreboard(t: Tables) -> DataFrame:
     aged = t.rows([(k, 1) for k in VOLATILE] + [(k, 0) for k in DURABLE], "k string, volatile int").select("volatile", (memory.staleness(F.lit(45 * fixed.DAY), F.col("k")) > 0.5).cast("int").alias("flagged"))
     out.append(_measure(aged.agg(F.avg((F.col("volatile") == F.col("flagged")).cast("int"))), "staleness_accuracy"))
 
-    # seven conclusions on a hypothesis, each claiming to be a fact, and five on one that is discredited
-    rank, tag = text.lookup(fixed.EPISTEMIC_RANK, F.col("claimed")), F.col("held")
-    chain = t.rows([(i, "observed") for i in range(1, 8)], "i int, claimed string").withColumn("held", F.greatest(rank, F.lit(fixed.EPISTEMIC_RANK["hypothesized"])))
-    out.append(_measure(chain.agg(F.sum((tag <= 1).cast("int"))), "epistemic_leakage"))
-    links = t.rows([(f"der_{i}", f"der_{i - 1}" if i > 1 else "obs_0") for i in range(1, 6)], "child_id string, parent_id string")
-    radius = graph.closure(links, t.rows([("obs_0",)], "n string"), 12, "parent_id", "child_id")
-    made = t.rows([(f"der_{i}", 0.9, "inferred") for i in range(1, 6)], "id string, confidence double, epistemic_tag string")
-    out.append(_measure(ledger.discredit_plan(radius, made, "E").agg(F.count("*") / 5), "blast_radius_completeness"))
-    basis = t.rows([(f"dec_{i}", f"der_{i}", 1.0) for i in range(1, 6)], "decision_id string, node_id string, weight double")
-    decisions = t.rows([(f"dec_{i}", "standing", None) for i in range(1, 6)], "id string, status string, reversible_until double")
-    moved = radius.where("depth > 0").select(F.col("node").alias("node_id"), F.lit("discredited").alias("cause"))
-    none = t.rows([], "decision_id string, basis_node string, cause string, acknowledged_at double")
-    found = ledger.raise_impacts(moved, basis, decisions, none, graph.criticality(links, basis.select("decision_id", "node_id")), NOW)
-    out.append(_measure(found.agg(F.countDistinct("decision_id") / 5), "consequence_recall"))
+    out += _revaluation(t)
+    out.append(_measure(_false_merges(t), "fusion_false_merge"))
+    out.append(_measure(_interference(t), "interference_top1"))
     return reduce(DataFrame.unionByName, out)
+
+
+def _revaluation(t: Tables) -> list[DataFrame]:
+    """Leakage, blast radius and consequence recall, all through the engine: a hypothesis, seven abstractions over it that claim to be facts, decisions on five of them."""
+    store = _fresh(t)
+    store.write(ledger.observe(store, t.rows([("Ice road holds heavy trucks", "log:ice:1", "document")], "content string, source_ref string, origin string"), NOW))
+    root = store.one("observation")["id"]
+    shape = "content string, parents array<string>, kind string, producer string, confidence double, epistemic string, falsifier string"
+    parents, made = [root], []
+    for level, names in enumerate([["h"], ["a", "b", "c", "d"], ["e", "f", "g"]]):
+        kind = "hypothesis" if level == 0 else "abstraction"
+        tables, _ = ledger.derive(store, t.rows([(f"Conclusion {n} about the ice road", parents, kind, "model", 0.99, "observed", "a truck sinks" if level == 0 else None) for n in names], shape), NOW + level)
+        store.write(tables)
+        parents = sorted(r["id"] for r in tables["derived"].select("id").collect())  # a handful
+        made += parents
+    leaked = store.read("derived").where("kind != 'hypothesis'").agg(F.sum(record.presentable(F.col("epistemic_tag")).cast("int")))
+    tables, _ = record.decided(store, t.rows([(f"Send convoy {i}", [node], "default", "user", None) for i, node in enumerate(made[:5])], "statement string, because array<string>, partition string, by string, reversible_until double"), NOW)
+    store.write(tables)
+    tables, plan = record.discredited(store, t.rows([(root,)], "node string"), "the ice melted", NOW + 9)
+    store.write(tables)
+    lowered = conclusions(store).join(store.read("derived").select("id", F.col("confidence").alias("before")), "id").agg(F.avg((F.col("confidence") < F.col("before")).cast("int")))
+    return [
+        _measure(leaked, "epistemic_leakage"),
+        _measure(lowered, "blast_radius_completeness"),
+        _measure(impacts(store).agg(F.countDistinct("decision_id") / 5), "consequence_recall"),
+    ]
+
+
+def _false_merges(t: Tables) -> DataFrame:
+    """Share of right decisions over three narrow cones of 18 strangers and two copies each, at thresholds moved above the cone's own background."""
+    rows = []
+    for cone, (spread, seed) in enumerate([(0.55, 11), (0.8, 12), (1.1, 13)]):
+        r = np.random.default_rng(seed)
+        axis = r.normal(size=128)
+        axis /= np.linalg.norm(axis)
+        noise = r.normal(size=(18, 128)) / np.sqrt(128) * spread
+        strangers = axis + noise
+        copies = strangers[:2] + r.normal(size=(2, 128)) / np.sqrt(128) * 0.05
+        rows += [(cone, cone * 100 + i, i - 18 if i >= 18 else i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate([*strangers, *copies])]
+    held = t.rows(rows, "cone int, id int, who int, v array<double>")
+    a, b = (held.select("cone", F.col("id").alias(n), F.col("who").alias(f"w{n}"), F.col("v").alias(f"v{n}")) for n in "ab")
+    pairs = a.join(b, "cone").where("a < b").select("cone", (F.col("wa") == F.col("wb")).alias("same"), vectors.dot(F.col("va"), F.col("vb")).alias("sim"))
+    background = pairs.groupBy("cone").agg(F.avg("sim").alias("background"))
+    told = pairs.join(background, "cone").withColumn("merged", F.col("sim") >= memory.rescaled(0.85, F.col("background")))
+    return told.agg(F.avg((F.col("merged") == F.col("same")).cast("int")))
+
+
+def _interference(t: Tables) -> DataFrame:
+    """Share of planted facts still answered first among 200 distractors that share words with them."""
+    facts = [(f"Pump house {n} takes filter size {40 + i}", f"pump house {n} filter size") for i, n in enumerate(("alder", "birch", "cedar", "dogwood", "elm"))]
+    noise = [f"{a} {b} needs {c} by week {i}" for i, (a, b, c) in enumerate((a, b, c) for a in ("Pump", "House", "Filter", "Valve", "Tank") for b in ("crew", "store", "report", "order", "shift") for c in ("paint", "grease", "bolts", "rope", "size", "tape", "fuel", "wire"))]
+    nodes = t.rows([(i, "yard", c, f"log:{i}", NOW, "unknown", "observed", "observation") for i, c in enumerate([f for f, _ in facts] + noise)], "id int, partition string, content string, source_ref string, at double, claim_class string, epistemic string, kind string")
+    states = nodes.select(F.col("id").alias("node"), F.lit(1.0).alias("r"), F.lit("hot").alias("tier"), F.lit(False).alias("suppressed"))
+    asked = t.rows([(i, q, "yard") for i, (_, q) in enumerate(facts)], "query_id int, query string, viewer string")
+    own = t.rows([("yard", "yard", "full")], "viewer string, owner string, level string")
+    _, found = retrieval.recall(asked, nodes, states, own, t.rows([], "partition string, query string, expires_at double, searched_at double"), NOW)
+    first = asked.join(found.where("rank = 1").select("query_id", "node"), "query_id", "left")
+    return first.agg(F.avg(F.coalesce(F.col("node") == F.col("query_id"), F.lit(False)).cast("int")))

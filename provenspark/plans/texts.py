@@ -316,13 +316,23 @@ def _(t):
     return t.supplier.select("s_suppkey", text.canonical(F.col("s_name")).alias("canonical"))
 
 
-@query("counter_evidence")
+NEGATED = "regexp_matches(lower({0}), " + quoted(r"(^|[^\w'])(" + "|".join(fixed.NEGATORS) + r")($|[^\w'])") + ")"
+OPPOSING = ", ".join(f"([{', '.join(quoted(w) for w in sorted(one))}], [{', '.join(quoted(w) for w in sorted(other))}])" for left, right in fixed.OPPOSED for one, other in ((left, right), (right, left)))
+
+
+@query(
+    "counter_evidence",
+    f"""WITH p AS (SELECT s_suppkey AS q, 'the pump ' || (s_suppkey % 4) || CASE s_suppkey % 3 WHEN 0 THEN ' is working' WHEN 1 THEN ' closed' ELSE ' not safe' END || ' at site ' || s_nationkey AS t FROM supplier),
+n AS (SELECT p_partkey AS id, 'pump ' || (p_partkey % 4) || CASE p_size % 5 WHEN 0 THEN ' is broken' WHEN 1 THEN ' is open' WHEN 2 THEN ' is not working' WHEN 3 THEN ' unsafe' ELSE ' closed' END || ' near site ' || (p_partkey % 25) AS t FROM part),
+pp AS (SELECT q, regexp_replace(t, '^the ', '') AS t FROM p), pt AS (SELECT q, t, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9-]+'), lambda w: length(w) > 2)) AS w, {NEGATED.format("t")} AS neg FROM pp),
+nt AS (SELECT id, t, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9-]+'), lambda w: length(w) > 2)) AS w, {NEGATED.format("t")} AS neg FROM n),
+op AS (SELECT * FROM (VALUES {OPPOSING}) AS v(a, b)),
+m AS (SELECT q, id, len(list_intersect(pt.w, nt.w)) AS i, len(pt.w) AS k, pt.neg <> nt.neg AS d, EXISTS (SELECT 1 FROM op WHERE list_has_any(a, pt.w) AND list_has_any(b, nt.w)) AS o FROM pt, nt)
+SELECT q AS query_id, id AS node, round(greatest(CASE WHEN d THEN i / k ELSE 0 END, CASE WHEN o THEN least(1.0, i / k + 0.2) ELSE 0 END), 6) AS strength FROM m WHERE i >= 2 AND (d OR o)""",
+)
 def _(t):
-    """Notes that share two terms with a question's premise and deny or oppose it."""
-    asked = t.rows([(1, "Why is the pump working?"), (2, "Why is the clinic closed?")], "q int, question string").select("q", text.presupposition(F.col("question")).alias("p"))
-    notes = t.rows([(1, "The pump is not working"), (2, "pump house: the pump is broken"), (3, "clinic is open today"), (4, "road closed")], "id int, note string")
-    met = asked.withColumn("t", F.explode(text.counter_terms(F.col("p")))).join(notes.withColumn("t", F.explode(text.counter_terms(F.col("note")))), "t").groupBy("q", "id", "p", "note").agg(F.count("*").alias("shared"))
-    share = F.col("shared") / F.size(text.counter_terms(F.col("p")))
-    opposed = F.arrays_overlap(text.counter_terms(F.col("note")), text.polarity_flip(F.col("p")))
-    strength = F.greatest(F.when(text.negated(F.col("note")) != text.negated(F.col("p")), share).otherwise(0.0), F.when(opposed, F.least(F.lit(1.0), share + 0.2)).otherwise(0.0))
-    return met.where("shared >= 1").select("q", "id", F.round(strength, 6).alias("strength")).where("strength > 0")
+    s, p = F.col("s_suppkey"), F.col("p_size")
+    asked = t.supplier.select(s.alias("query_id"), F.concat(F.lit("the pump "), (s % 4).cast("string"), F.when(s % 3 == 0, " is working").when(s % 3 == 1, " closed").otherwise(" not safe"), F.lit(" at site "), "s_nationkey").alias("query"))
+    ends = F.when(p % 5 == 0, " is broken").when(p % 5 == 1, " is open").when(p % 5 == 2, " is not working").when(p % 5 == 3, " unsafe").otherwise(" closed")
+    notes = t.part.select(F.col("p_partkey").alias("node"), F.concat(F.lit("pump "), (F.col("p_partkey") % 4).cast("string"), ends, F.lit(" near site "), (F.col("p_partkey") % 25).cast("string")).alias("content"))
+    return retrieval.counter_evidence(asked, notes)

@@ -143,7 +143,25 @@ def test_supersession_limit(spark):
     assert got.where("source_ref = 't'").first()["reason"] == "authority"
 
 
-def test_doctor_and_tend(store):
-    assert {r.check for r in ledger.doctor(store).collect()} >= {"monotonic", "orphan_edge", "single_model"}
+def test_doctor_and_tend(store, spark):
+    from provenspark.operators import diagnostics
+
+    got = {r.check: r.status for r in ledger.doctor(store).collect()}
+    assert got["epistemics.monotonic"] == got["substrate.provenance_intact"] == "pass" and got["embedder.present"] == "warn"
     plans = ledger.tend(store, NOW + 1e6)
-    assert plans["tiers"].count() >= 3
+    assert plans["tiers"].count() >= 3 and len(plans) == 11
+
+    def broken(checker):
+        raise RuntimeError("no disk")
+
+    told = {r.check: (r.status, r.detail) for r in diagnostics.run(store, checks=(broken,)).collect()}
+    assert told["broken.crashed"][0] == "fail" and "no disk" in told["broken.crashed"][1]
+
+
+def test_confusable_and_schemas(spark):
+    rows = [(i, "p", float(i), f"pump {i % 3} station north valve open") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, partition string, at double, content string")
+    want = {(a, b) for a in range(60) for b in range(60) if 0 < a - b < 25 and a % 3 != b % 3}
+    assert {(r.a, r.b) for r in ledger.confusable(df).collect()} == want
+    found = ledger.schemas(df).collect()
+    assert len(found) == 1 and found[0].members == 60

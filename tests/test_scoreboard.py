@@ -7,5 +7,5 @@ ZERO = {"confabulation", "epistemic_leakage"}
 
 def test_scoreboard(spark, small):
     got = {r.metric: r.value for r in catalogue.queries()["scoreboard"](spark, small).collect()}
-    assert len(got) == 11
+    assert len(got) == 13
     assert got == {k: 0.0 if k in ZERO else 1.0 for k in got}
