@@ -226,10 +226,14 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows with a null id stay; of rows that repeat an id and its text one stays.
     """
     rows = cut(_grouped(docs, id_col, text_col).where("id is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first(F.col("key") == F.col("first")).alias("stays")).where("copies > 1 or not stays"), "repeats")
-    keyed = docs.withColumn("_key", F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))))
-    whole = keyed.join(rows.select(F.col("key").alias("_key")), "_key", "left_anti")
-    again = keyed.join(rows.where("stays").select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-    return whole.unionByName(again).drop("_key")
+    own = "_key"
+    while own in docs.columns:
+        own += "_"
+    named = rows.withColumnRenamed("key", own)
+    keyed = docs.withColumn(own, F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))))
+    whole = keyed.join(named.select(own), own, "left_anti")
+    again = keyed.join(named.where("stays").select(own), own, "left_semi").dropDuplicates([own])
+    return whole.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

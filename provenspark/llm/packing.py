@@ -27,8 +27,8 @@ from provenspark.llm.tokens import default_tokenizer, word_ids
 from provenspark.llm.words import slices
 
 SEQUENCE, END = 4096, 2
-#: Rows of the placement table up to which it goes out with the tasks; a longer one is joined.
-TABLE_ROWS = 1_000_000
+#: Rows of the placement table up to which it goes out with the tasks; a longer one is joined, by runs of so many ranks.
+TABLE_ROWS, RUN = 1_000_000, 1 << 16
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -134,9 +134,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ranked = dealt.withColumn("number", number).join(before, ["length", "bucket"]).select(*pieces.columns, (F.col("before") + F.col("number") - 1).alias("rank"))
     if len(table) <= TABLE_ROWS:
         return ranked.mapInArrow(_placed(np.array(table or [(0, 0, 0, 0)], np.int64)), schema + ", sequence_id long, offset long")
-    spans = [(length, first, following[1] if following[0] == length else 1 << 62, sequence, offset) for (length, first, sequence, offset), following in zip(table, [*table[1:], (0, 0)], strict=True)]
-    places = spark.createDataFrame(spans, "length long, lo long, hi long, sequence long, offset long")
-    return ranked.join(places, "length").where("rank >= lo and rank < hi").select(*pieces.columns, (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    # a longer table is joined by length and run of ranks: a common length is as many keys as it has runs
+    ends = [following[1] if following[0] == length else histogram[length] for (length, *_), following in zip(table, [*table[1:], (0, 0)], strict=True)]
+    places = spark.createDataFrame([(*row, end) for row, end in zip(table, ends, strict=True)], "length long, lo long, sequence long, offset long, hi long")
+    places = places.withColumn("run", F.explode(F.sequence(F.floor(F.col("lo") / RUN), F.floor((F.col("hi") - 1) / RUN))))
+    met = ranked.withColumn("run", F.floor(F.col("rank") / RUN)).join(places, ["length", "run"]).where("rank >= lo and rank < hi")
+    return met.select(*pieces.columns, (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

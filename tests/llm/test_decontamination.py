@@ -79,3 +79,74 @@ def test_an_edited_slot_costs_its_windows_only(spark, make):
     merged = item.replace("3", "4").replace("5", "4")
     got = found(spark, make, [(1, f"{CLEAN} {one}"), (2, f"{CLEAN} {merged}"), (3, CLEAN)], [(1, ITEM), (2, item)])
     assert got == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
+
+
+def _template(text):
+    """(tokens, kinds) by plain rules, for texts whose names never open a sentence."""
+    out, kinds, number = [], [], False
+    for raw in text.split():
+        word = raw.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+        if not word:
+            continue
+        kind = "number" if word[0].isdigit() else "unit" if number and word.lower() in D.UNITS else "name" if word[0].isupper() and word[1:2].islower() else ""
+        number = kind == "number"
+        out.append(word.lower())
+        kinds.append(kind)
+    return out, kinds
+
+
+def _plain_leak(doc, item):
+    """Coverage of an item's windows by one document, template windows with agreeing slots and equal ones, over all alignments."""
+    (dw, dk), (iw, ik) = _template(doc), _template(item)
+    total, typed_total = len(iw) - 7, sum(sum(not k for k in ik[p : p + 8]) >= 4 for p in range(len(iw) - 7))
+    every, typed = set(), set()
+    for shift in range(-len(iw), len(dw)):
+        met = []
+        for p in range(len(iw) - 7):
+            if 0 <= p + shift and p + shift + 8 <= len(dw):
+                a, b = range(p, p + 8), range(p + shift, p + shift + 8)
+                same = all(iw[x] == dw[y] for x, y in zip(a, b, strict=True))
+                form = all((ik[x] == dk[y] != "") or (ik[x] == dk[y] == "" and iw[x] == dw[y]) for x, y in zip(a, b, strict=True)) and sum(not ik[x] for x in a) >= 4
+                met += [(p, form)] if same or form else []
+        votes = {}
+        for p, form in met:
+            for x in range(p, p + 8):
+                if ik[x] and form:
+                    votes.setdefault(iw[x], {}).setdefault(dw[x + shift], set()).add(x)
+        mapped = {a: min(by, key=lambda b: (-len(by[b]), b != a)) for a, by in votes.items()}
+        if any(2 * len(by[mapped[a]]) < len(set().union(*by.values())) for a, by in votes.items()):
+            continue
+        for p, form in met:
+            if not form or all(mapped[iw[x]] == dw[x + shift] for x in range(p, p + 8) if ik[x]):
+                every.add(p)
+                typed |= {p} if form else set()
+    enough = lambda k, n: n > 0 and k / n >= D.COVER and k >= min(D.LEAST, n)
+    return enough(len(every), total) or enough(len(typed), typed_total)
+
+
+def test_templates_equal_a_plain_search(spark, make):
+    import random
+
+    r = random.Random(7)
+    names, words = ["Alba", "Bruno", "Celia", "Dario", "Elsa", "Fabio"], [f"w{a}{b}" for a in "abcdefghij" for b in "klmnop"]
+
+    def text(n):
+        out = []
+        for _ in range(n):
+            x = r.random()
+            out += [r.choice(names)] if x < 0.15 else [str(r.randint(2, 99)), "km"] if x < 0.22 else [str(r.randint(2, 99))] if x < 0.3 else [r.choice(words)]
+        return ["so", *out]
+
+    items = {i: text(r.randint(14, 40)) for i in range(1, 9)}
+    docs = {}
+    for d in range(1, 121):
+        w = list(items[r.randint(1, 8)])
+        change = {a: r.choice(names) for a in names} if r.random() < 0.6 else {}
+        w = [change.get(x, x) for x in w]
+        w = [str(r.randint(2, 99)) if x.isdigit() and r.random() < 0.3 else r.choice(words) if not x[0].isupper() and not x.isdigit() and x != "km" and r.random() < 0.08 else x for x in w]
+        cut = r.randint(0, len(w) - 3)
+        docs[d] = text(r.randint(0, 20)) + (w if r.random() < 0.6 else w[cut:]) + text(5)
+    docs, items = ({k: " ".join(w) for k, w in of.items()} for of in (docs, items))
+    want = {(d, i) for d, t in docs.items() for i, s in items.items() if _plain_leak(t, s)}
+    got = set(found(spark, make, list(docs.items()), tuple(items.items())))
+    assert got == want and 30 < len(want) < 110

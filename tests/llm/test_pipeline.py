@@ -50,3 +50,35 @@ def test_registered_queries(spark, small):
 def test_extra_columns_stay(spark, make):
     df = make([(1, "Token = abcdefgh12 and more plain words here."), (2, "Plain words.")]).withColumn("base", F.lit(1)).withColumn("spans", F.lit("s"))
     assert C.secret_stage(spark, df, "").columns == df.columns
+
+
+def folder(spark, make, path, rows):
+    """A folder of tables: documents with columns that clash with inner names, labels for all of them, one benchmark item."""
+    docs = make(rows).withColumn("_key", F.lit("k")).withColumn("rep", F.lit(1)).withColumn("component", F.lit(None).cast("string"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(len(t or "") > 30), 0) for i, t in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over nine lazy dogs near the old river bank")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return docs
+
+
+def test_odd_rows_pass_through_every_stage(spark, make, tmp_path):
+    """Null ids and texts, blank and very long texts, repeated rows and clashing columns: no stage fails, drops a clean row or changes columns."""
+    plain = [f"Text number {w} tells at some length of {w} and of the things that {w} brought home." for w in ("amber", "birch", "cedar", "dahlia", "elder", "fern")]
+    rows = [*enumerate(plain), (None, plain[0]), (None, None), (20, None), (21, ""), (22, " \t"), (23, "long words here " * 30_000), (0, plain[0]), (24, plain[1].upper())]
+    path = "file://" + str(tmp_path / "odd")
+    docs = folder(spark, make, path, rows)
+    for name, stage in C.STAGES[:-1]:
+        assert stage(spark, docs, path).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+    near = C.near_dedup_stage(spark, docs, path).collect()
+    assert sorted(str(r.doc_id) for r in near) == sorted(["0", "1", "2", "3", "4", "5", "20", "21", "22", "23", "None", "None"])
+    assert C.decontamination_stage(spark, docs, path).count() == len(rows) == C.secret_stage(spark, docs, path).count()
+    packed = C.packing_stage(spark, docs, path).collect()
+    assert len({(r.doc_id, r.start) for r in packed if r.doc_id == 23}) > 1 and sum(r.doc_id is None for r in packed) == 2
+    assert C.run(spark, path).count() >= 0
+
+
+def test_empty_tables(spark, make, tmp_path):
+    path = "file://" + str(tmp_path / "none")
+    folder(spark, make, path, [])
+    assert C.run(spark, path).count() == 0
