@@ -181,6 +181,15 @@ def _(t):
     return vectors.recall_at_k(vectors.probe(centroids, lists, asked, 10, nprobe=8), vectors.top_k(rows, asked, 10))
 
 
+@query("ivf_sweep", "SELECT nprobe, nprobe = 16 AS exact FROM (VALUES (1), (2), (4), (8), (16)) AS v(nprobe)")
+def _(t):
+    """Recall grows with the lists that are looked into, and is whole with all of them."""
+    rows = vecs(t)
+    unit = rows.select("id", vectors.unit(F.col("v")).alias("v"))
+    told = vectors.sweep(unit, unit.where("id % 10 = 0"))
+    return told.select("nprobe", (F.col("recall") > 0.9999).alias("exact"))
+
+
 SIMS = "s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = b.label)"
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import secrets
 import stat
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from provenspark.sources.store import TABLES, Store
 
 MARK = "provenspark-seal-1"
 
@@ -45,13 +52,50 @@ def seal(df: DataFrame, path: str, key: bytes) -> None:
 
 def unseal(spark, path: str, key: bytes) -> DataFrame:
     """The rows; a wrong key or a changed value gives SealError, here for the schema and on reading for rows."""
-    from pyspark.sql.types import StructType
-
     dec = F.try_aes_decrypt("sealed", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(MARK)).cast("string")
     told = spark.read.parquet(f"{path}/schema").select(dec.alias("s")).first()["s"]
     if told is None:
         raise SealError("wrong key or changed table")
-    import json
-
     checked = F.coalesce(dec, F.raise_error(F.lit("wrong key or changed row")))
     return spark.read.parquet(f"{path}/rows").select(F.from_json(checked, StructType.fromJson(json.loads(told))).alias("r")).select("r.*")
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def seal_store(store: Store, path: str, key: bytes, shred: bool = False) -> list[str]:
+    """Every table that holds something, sealed below path; with shred the plain store is deleted afterwards."""
+    names = [name for name in TABLES if store.exists(name)]
+    for name in names:
+        seal(store.read(name), f"{path.rstrip('/')}/{name}", key)
+    if shred:
+        fs, at = _folder(store.spark, store.root)
+        fs.delete(at, True)
+    return names
+
+
+@contextlib.contextmanager
+def opened(spark: SparkSession, path: str, key: bytes, work: str) -> Iterator[Store]:
+    """A sealed store as a plain one in a fresh folder below work; sealed again and the plain one deleted at the end.
+
+    The new seal is written beside the old one and takes its place in one
+    rename; after an error inside, the old one stays as it was.
+    """
+    root = path.rstrip("/")
+    store = Store(spark, f"{work.rstrip('/')}/plain-{uuid.uuid4().hex}")
+    fs, at = _folder(spark, root)
+    held = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    plain_fs, plain = _folder(spark, store.root)
+    try:
+        if held:
+            store.write({name: unseal(spark, f"{root}/{name}", key) for name in held}, "unsealed")
+        yield store
+        fresh = f"{root}-{uuid.uuid4().hex}"
+        seal_store(store, fresh, key)
+        if fs.exists(_folder(spark, fresh)[1]):
+            fs.delete(at, True)
+            fs.rename(_folder(spark, fresh)[1], at)
+    finally:
+        plain_fs.delete(plain, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import struct
 from pathlib import Path
 
 #: Ending of the file beside a model; readers of other tools' files name theirs.
@@ -99,3 +100,60 @@ def conventions(architecture: str, name: str, pooling: str = "", causal: bool =
     )
     query, document = next(((q, d) for fits, q, d in families if fits), ("", ""))
     return {"query_prefix": query, "doc_prefix": document, "pooling": pooling if pooling in ("cls", "mean", "last") else "last" if causal else "cls"}
+
+
+#: Fixed values of the model file format: value types by number, as struct codes.
+SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
+TEXT, LIST = 8, 9
+POOLING = {0: "none", 1: "mean", 2: "cls", 3: "last"}
+
+
+@dataclasses.dataclass
+class Model:
+    """What a model file says of itself."""
+
+    architecture: str = ""
+    name: str = ""
+    pooling: str = ""
+    dim: int = 0
+    context: int = 0
+    blocks: int = 0
+
+
+def model_header(path: str | Path, longest_list: int = 64) -> Model:
+    """The header of a GGUF file; lists beyond `longest_list` entries are skipped over, tensors are not read."""
+    with open(path, "rb") as f:
+
+        def number(code: str):
+            data = f.read(struct.calcsize("<" + code))
+            if len(data) < struct.calcsize("<" + code):
+                raise ValueError(f"{path} ends inside its header")
+            return struct.unpack("<" + code, data)[0]
+
+        def text() -> str:
+            return f.read(number("Q")).decode("utf-8", "replace")
+
+        def value(kind: int):
+            if kind in SCALARS:
+                return number(SCALARS[kind])
+            if kind == TEXT:
+                return text()
+            if kind != LIST:
+                raise ValueError(f"{path}: unknown value type {kind}")
+            inner, n = number("I"), number("Q")
+            if inner in SCALARS and n > longest_list:
+                f.seek(struct.calcsize("<" + SCALARS[inner]) * n, 1)
+                return []
+            return [value(inner) for _ in range(n)]
+
+        if f.read(4) != b"GGUF":
+            raise ValueError(f"{path} is not a model file")
+        number("I")  # version
+        number("Q")  # tensors
+        held = {}
+        for _ in range(number("Q")):
+            key = text()
+            held[key] = value(number("I"))
+    arch = held.get("general.architecture", "")
+    own = lambda name, default=0: held.get(f"{arch}.{name}", default)
+    return Model(arch, held.get("general.name", ""), POOLING.get(own("pooling_type", -1), ""), own("embedding_length"), own("context_length"), own("block_count"))

@@ -221,3 +221,39 @@ def test_reasoner(spark):
         return complete
 
     assert context.reasoned(rows, broken).where("answer is null").count() == 2
+
+
+def test_model_header(tmp_path):
+    import struct
+
+    word = lambda x: struct.pack("<Q", len(x)) + x.encode()
+    entries = [("general.architecture", 8, word("bert")), ("general.name", 8, word("small")), ("bert.embedding_length", 4, struct.pack("<I", 384)), ("bert.pooling_type", 4, struct.pack("<I", 2)), ("tokens", 9, struct.pack("<IQ", 4, 100) + b"\0" * 400), ("names", 9, struct.pack("<IQ", 8, 2) + word("a") + word("b")), ("bert.block_count", 4, struct.pack("<I", 6))]
+    path = tmp_path / "m.gguf"
+    path.write_bytes(b"GGUF" + struct.pack("<IQQ", 3, 0, len(entries)) + b"".join(word(k) + struct.pack("<I", t) + v for k, t, v in entries))
+    assert sidecar.model_header(path) == sidecar.Model("bert", "small", "cls", 384, 0, 6)
+    (tmp_path / "no").write_bytes(b"GGML")
+    with pytest.raises(ValueError):
+        sidecar.model_header(tmp_path / "no")
+    (tmp_path / "cut").write_bytes(path.read_bytes()[:40])
+    with pytest.raises(ValueError):
+        sidecar.model_header(tmp_path / "cut")
+
+
+def test_sealed_lifecycle(spark, tmp_path):
+    from provenspark.sources import sealed
+
+    key, path, work = bytes(range(32)), "file://" + str(tmp_path / "sealed"), "file://" + str(tmp_path / "work")
+    row = lambda who: spark.createDataFrame([(who, "n", NOW, "briefing", 0.5)], "who string, node_id string, at double, channel string, depth double")
+    with sealed.opened(spark, path, key, work) as s:
+        s.append("exposure", row("a"))
+    assert not list((tmp_path / "work").glob("plain-*"))
+    with sealed.opened(spark, path, key, work) as s:
+        assert s.count("exposure") == 1
+        s.append("exposure", row("b"))
+    with pytest.raises(RuntimeError), sealed.opened(spark, path, key, work) as s:
+        s.append("exposure", row("c"))
+        raise RuntimeError
+    with sealed.opened(spark, path, key, work) as s:
+        assert {r.who for r in s.read("exposure").collect()} == {"a", "b"}
+    with pytest.raises(sealed.SealError), sealed.opened(spark, path, bytes(32), work):
+        pass
