@@ -34,6 +34,8 @@ HEX = r"[0-9a-f]{32,}"
 WINDOW = 20
 BITS = {"hex": 3.05, "alnum": 3.65, "symbol": 3.75}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
+#: The candidates' characters, and how many five-bit counts a packed word holds.
+ALPHABET, PACKED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 12
 #: Strings that look random and are known not to be secrets: UUIDs, placeholders, alphabets, joined words and paths.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -69,8 +71,26 @@ def _c_log_c(c: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 1)]), (c + 1).cast("int"))
 
 
-def _count(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _place(code: Column) -> tuple[Column, Column]:
+    """The packed word of a character's count and the bits before it there."""
+    return F.floor(code / PACKED).cast("int"), (code % PACKED * 5).cast("int")
+
+
+def _held(counts: Column, code: Column) -> Column:
+    """A character's count out of the packed ones."""
+    word, bits = _place(code)
+    return F.call_function("shiftright", F.get(counts, word), bits).bitwiseAND(F.lit(31))
+
+
+def _moved(counts: Column, code: Column, by: int) -> Column:
+    """Packed counts with one character's count changed by one."""
+    word, bits = _place(code)
+    return F.transform(counts, lambda w, i: F.when(i == word, w + by * F.call_function("shiftleft", F.lit(1).cast("long"), bits)).otherwise(w))
 
 
 def char_class(s: Column) -> Column:
@@ -84,31 +104,34 @@ def char_class(s: Column) -> Column:
 
 
 def hot_windows(s: Column, bits: Column) -> Column:
-    """struct<first,last>: zero-based starts of the first and last window of at least that entropy (-1: none)."""
+    """struct<first,last>: zero-based starts of the first and last window of at least that entropy (-1: none).
+
+    The fold holds the count of every character in the window, five bits each,
+    and changes those of the character that leaves and of the one that enters.
+    """
     most = (math.log2(WINDOW) - bits) * WINDOW  # of the sum of c * log2(c), which is large where entropy is low
-    chars = F.split(s, "")
-    head = F.substring(s, 1, WINDOW)
-    total = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda acc, ch: acc + _c_log_c(F.when(ch == "", 0).otherwise(_count(head, ch))))
     none = F.lit(-1)
+    start = F.struct(F.lit(0).alias("i"), F.array(*[F.lit(0).cast("long")] * (-(-len(ALPHABET) // PACKED))).alias("counts"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
+
+    def step(codes: Column, acc: Column, enters: Column) -> Column:
+        leaves = F.get(codes, acc["i"] - WINDOW)  # null until the window is full
 
-    def seen(i: Column, total: Column, before: Column, first: bool) -> Column:
-        hot = total <= most + 1e-9
-        return F.when((before < 0) & hot if first else hot, i).otherwise(before)
+        def left(x: Column) -> Column:
+            gone, come = _held(acc["counts"], leaves), _held(x, enters)
+            lost = F.when(leaves.isNull(), 0.0).otherwise(_c_log_c(gone - 1) - _c_log_c(gone))
+            total = acc["total"] + lost + _c_log_c(come + 1) - _c_log_c(come)
+            return F.struct(_moved(x, enters, 1).alias("counts"), total.alias("total"))
 
-    start = F.struct(F.lit(0).alias("i"), head.alias("window"), total.alias("total"), seen(F.lit(0), total, none, True).alias("first"), seen(F.lit(0), total, none, False).alias("last"))
+        def entered(x: Column) -> Column:
+            at = acc["i"] - (WINDOW - 1)
+            hot = (at >= 0) & (x["total"] <= most + 1e-9)
+            first = F.when(hot & (acc["first"] < 0), at).otherwise(acc["first"])
+            return F.struct((acc["i"] + 1).alias("i"), x["counts"].alias("counts"), x["total"].alias("total"), first.alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
 
-    def step(acc: Column, entering: Column) -> Column:
-        window = acc["window"]
-        leaving = F.substring(window, 1, 1)
-        gone = _count(window, leaving)
-        rest = F.substring(window, 2, WINDOW)
-        come = _count(rest, entering)
-        total = acc["total"] - _c_log_c(gone) + _c_log_c(gone - 1) - _c_log_c(come) + _c_log_c(come + 1)
-        i = acc["i"] + 1
-        return F.struct(i.alias("i"), F.concat(rest, entering).alias("window"), total.alias("total"), seen(i, total, acc["first"], True).alias("first"), seen(i, total, acc["last"], False).alias("last"))
+        return _let(_let(F.when(leaves.isNull(), acc["counts"]).otherwise(_moved(acc["counts"], leaves, -1)), left), entered)
 
-    tail = F.filter(F.slice(chars, WINDOW + 1, F.greatest(F.lit(0), F.length(s) - WINDOW)), lambda ch: ch != "")
-    return F.aggregate(tail, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    codes = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
+    return _let(codes, lambda c: F.aggregate(c, start, lambda acc, x: step(c, acc, x), lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
 
 def _entropy_spans(candidates: Column, base: Column, allow: tuple[str, ...]) -> Column:
