@@ -13,11 +13,10 @@
    every member paired with the list's leader.  The union sketch's estimate
    then filters the pairs, and full shingle sets decide.
 4. Longer lists that still span several components are finished exactly: their
-   members are dealt by set size into bands, of which only neighbouring ones
-   can link, and into blocks of bounded rows and shingles; the component that
-   most of a group belongs to meets the others, never itself.  Each pair of blocks
-   first counts shared retained values; texts follow only for members with a
-   partner, full sets decide, and a spanning forest of the links comes back.
+   members are dealt into blocks of bounded rows and shingles.  Each pair of
+   blocks first compares set sizes and counts shared retained values; texts
+   follow only for members with a partner, full sets decide, and a spanning
+   forest of the links comes back.
 5. Components of all links; each document joins its class's component.
 
 A class's representative is known by a hash of its id and text, so rows that
@@ -41,8 +40,8 @@ from provenspark.llm.words import U64, mix, shingle_sets, slices, windows
 WORDS, PERCENT = 5, 75
 #: Retained values, consecutive values of a list's key, and the least shared part of a union sketch (0.75 less nine parts in two of its deviation).
 K, RUN, LEAST = 48, 3, 0.375
-#: Members up to which a list gives all pairs; members and shingles of a block of a longer one, and the ratio of a band's set sizes.
-SHORT, BLOCK, SHINGLES, RATIO = 64, 256, 1 << 18, 4 / 3
+#: Members up to which a list gives all pairs; members and shingles of a block of a longer one.
+SHORT, BLOCK, SHINGLES = 64, 256, 1 << 18
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +254,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     )
 
 
-CELL = {"g": "long", "h": "long", "x": "int", "y": "int", "m": "boolean", "k": "boolean", "i": "int", "j": "int"}
+CELL = {"g": "long", "h": "long", "i": "int", "j": "int"}
 
 
 def _long_lists(members: DataFrame, classes: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
@@ -264,30 +263,22 @@ def _long_lists(members: DataFrame, classes: DataFrame, components: DataFrame, t
     open_keys = hot.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     hot = cut(hot.join(open_keys, "key"), "hot")
     # every document belongs to the longest of its lists; two such groups meet if some list holds members of both
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(RATIO))).cast("int")
-    home = hot.groupBy("rep", "component", "n").agg(F.max(F.struct("c", "key"))["key"].alias("g")).withColumn("band", band)
-    # most of a group hangs together already: its main component is dealt apart, and never compared with itself
-    most = home.groupBy("g", "component").agg(F.count("*").alias("size")).groupBy("g").agg(F.max_by("component", F.struct("size", "component")).alias("major"))
-    home = cut(home.join(most, "g").withColumn("main", F.col("component") == F.col("major")), "homes")
+    home = cut(hot.groupBy("rep", "component", "n").agg(F.max(F.struct("c", "key"))["key"].alias("g")).withColumn("spread", F.xxhash64("rep")), "homes")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int")
-    groups = home.groupBy("g", "major", "band", "main").agg(blocks.alias("blocks"))
+    groups = home.groupBy("g").agg(blocks.alias("blocks"))
     in_list = hot.select("key", "rep").join(home.select("rep", "g"), "rep").select("key", "g").distinct()
     meet = in_list.join(in_list.withColumnRenamed("g", "h"), "key").where("g <= h").select("g", "h").distinct()
-    # sets of which one has 75 % of the other's size lie in one band or in neighbouring ones
     cells = (
-        meet.join(groups.select("g", F.col("major").alias("gm"), F.col("band").alias("x"), F.col("main").alias("m"), F.col("blocks").alias("gb")), "g")
-        .withColumn("y", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)))
-        .join(groups.select(F.col("g").alias("h"), F.col("major").alias("hm"), F.col("band").alias("y"), F.col("main").alias("k"), F.col("blocks").alias("hb")), ["h", "y"])
-        .where("not (m and k and gm = hm) and (g < h or x < y or (x = y and m <= k))")
-        .withColumn("alike", F.expr("g = h and x = y and m = k"))
+        meet.join(groups.select("g", F.col("blocks").alias("gb")), "g")
+        .join(groups.select(F.col("g").alias("h"), F.col("blocks").alias("hb")), "h")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)))
-        .withColumn("j", F.explode(F.sequence(F.when(F.col("alike"), F.col("i")).otherwise(0), F.col("hb") - 1)))
-        .select(*CELL, "alike")
-    )
-    of_block = home.join(groups.select("g", "band", "main", "blocks"), ["g", "band", "main"]).select("rep", "component", "n", F.col("g").alias("own"), "band", "main", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
-    left = cells.select(*CELL, F.col("g").alias("own"), F.col("x").alias("band"), F.col("m").alias("main"), F.col("i").alias("block"), F.lit(0).alias("side"))
-    right = cells.where("not (alike and i = j)").select(*CELL, F.col("h").alias("own"), F.col("y").alias("band"), F.col("k").alias("main"), F.col("j").alias("block"), F.lit(1).alias("side"))
-    dealt = left.unionByName(right).join(of_block, ["own", "band", "main", "block"]).select(*CELL, "side", "rep", "component", "n").join(classes.select("rep", "sketch"), "rep")
+        .withColumn("j", F.explode(F.sequence(F.when(F.col("g") == F.col("h"), F.col("i")).otherwise(0), F.col("hb") - 1)))
+        .select(*CELL)
+    )
+    of_block = home.join(groups, "g").select("rep", "component", "n", F.col("g").alias("own"), F.pmod("spread", "blocks").cast("int").alias("block"))
+    left = cells.select(*CELL, F.col("g").alias("own"), F.col("i").alias("block"), F.lit(0).alias("side"))
+    right = cells.where("not (g = h and i = j)").select(*CELL, F.col("h").alias("own"), F.col("j").alias("block"), F.lit(1).alias("side"))
+    dealt = left.unionByName(right).join(of_block, ["own", "block"]).select(*CELL, "side", "rep", "component", "n").join(classes.select("rep", "sketch"), "rep")
     kinds = CELL | {"side": "int", "rep": "long", "component": "long"}
     near = dealt.select(*kinds, "n", "sketch").groupBy(*CELL).applyInArrow(_block_partners, ", ".join(f"{c} {k}" for c, k in kinds.items()))
     near = cut(near, "near")
