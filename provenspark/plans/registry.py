@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def rounded(name: str, places: int = 6) -> Column:
+    """A number as the oracles round it: the scaled double is rounded, where F.round rounds its shortest decimal and so goes up at halves just below."""
+    return F.round(F.col(name) * 10.0**places) / 10.0**places
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
