@@ -126,10 +126,11 @@ def bridge(cands: DataFrame, mentioned: DataFrame, mention: DataFrame, relation:
 
 def spread(cands: DataFrame, assoc: DataFrame, succession: DataFrame | None = None, damping: float = 0.35) -> DataFrame:
     """Candidates with what one hop of association adds to them."""
-    links = assoc.select(F.col("src").alias("node"), F.col("dst").alias("to"), (damping * F.col("weight")).alias("w"))
+    links = assoc.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(damping).alias("damp"), F.col("weight").alias("w"))
     if succession is not None:
-        links = links.unionByName(succession.select(F.col("src").alias("node"), F.col("dst").alias("to"), (damping / 2 * F.least(F.lit(1.0), F.col("count") / 5)).alias("w")))
-    given = cands.join(links, "node").select("query_id", F.col("to").alias("node"), (F.col("score") * F.col("w")).alias("score"))
+        links = links.unionByName(succession.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(damping / 2).alias("damp"), F.least(F.lit(1.0), F.col("count") / 5).alias("w")))
+    # the score is damped before it is weighed: products of three numbers depend on their order
+    given = cands.join(links, "node").select("query_id", F.col("to").alias("node"), (F.col("score") * F.col("damp") * F.col("w")).alias("score"))
     return cands.select("query_id", "node", "score").unionByName(given).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
 
 

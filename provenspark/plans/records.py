@@ -180,7 +180,7 @@ def _(t):
     cands = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 500000).alias("score"))
     assoc = t.lineitem.groupBy(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")).agg((F.max("l_quantity") / 50).alias("weight"))
     follow = t.lineitem.groupBy(F.col("l_orderkey").alias("src"), (-F.col("l_suppkey") - 1000000).alias("dst")).agg(F.count("*").alias("count"))
-    return retrieval.spread(cands, assoc, follow).withColumn("score", F.round("score", 6))
+    return retrieval.spread(cands, assoc, follow).withColumn("score", rounded("score"))
 
 
 @query("answerable", """WITH s AS (SELECT DISTINCT lang AS v, lang AS o FROM documents UNION SELECT 'en', lang FROM documents), k AS (SELECT DISTINCT v, ['place', 'time', 'person'][(doc_id % 3 + 1)] AS kind FROM documents JOIN s ON o = lang WHERE lang <> 'fr'),

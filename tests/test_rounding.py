@@ -28,3 +28,8 @@ def oracle(folder, sql):
 def test_entity_bridge_at_halves(spark, halves):
     found = catalogue.queries()["entity_bridge"](spark, halves).select("query_id", "node", "score").collect()
     assert {(r[0], r[1]): r[2] for r in found} == oracle(halves, catalogue.oracle_sql()["entity_bridge"])
+
+
+def test_assoc_spread_at_halves(spark, halves):
+    found = catalogue.queries()["assoc_spread"](spark, halves).select("query_id", "node", "score").collect()
+    assert {(r[0], r[1]): r[2] for r in found} == oracle(halves, catalogue.oracle_sql()["assoc_spread"])
