@@ -39,7 +39,8 @@ def observe(store: Store, rows: DataFrame, now: float) -> dict[str, DataFrame]:
     trust = F.when(F.col("trust") != "trusted", F.col("trust")).when(F.col("_s.verdict") == "blocked", "quarantined").when(F.col("_s.verdict") == "suspect", "untrusted").otherwise("trusted")
     given = step(given.withColumn("trust", trust), "observed")
     told = sequences.episodes(given.select("partition", F.struct("observed_at", "id").alias("o"), "content"), "partition", "o")
-    seen = given.join(told.select(F.col("o.id").alias("id"), "episode", "surprise", "boundary"), "id").withColumn("episode_id", made_id("epi", "partition", F.col("episode"), F.lit(now)))
+    # written once: six tables read it
+    seen = step(given.join(told.select(F.col("o.id").alias("id"), "episode", "surprise", "boundary"), "id").withColumn("episode_id", made_id("epi", "partition", F.col("episode"), F.lit(now))), "segmented")
     post = retrieval.postings(seen)
     return {
         "observation": seen,

@@ -22,33 +22,33 @@ def surprise(rows: DataFrame, by: list[str], order: list[str], content: str = "c
     return seen.withColumn("surprise", F.when(F.size("_tok") == 0, 0.0).when(F.col("_rn") == 1, 1.0).otherwise(share)).drop("_tok", "_before", "_rn")
 
 
-def boundaries(values: Column) -> Column:
-    """array<boolean>: where an episode starts, from the surprises of one stream in order.
-
-    A fold, because a boundary silences the two rows after it.  The state holds
-    at most 64 earlier surprises.
-    """
-    zero = F.struct(F.array().cast("array<double>").alias("past"), F.lit(0).alias("since"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(acc["past"])
-        mean = F.aggregate(acc["past"], F.lit(0.0), lambda a, x: a + x) / n
-        sd = F.sqrt(F.aggregate(acc["past"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-        cut = F.when((acc["since"] < LEAST) | (n < 3), False).otherwise(F.coalesce(F.when(sd < 1e-6, False).otherwise((s - mean) / sd > THRESHOLD), F.lit(False)))
-        past = F.concat(acc["past"], F.array(s))
-        past = F.slice(past, F.greatest(F.lit(1), F.size(past) - SEEN + 1), SEEN)
-        return F.struct(past.alias("past"), F.when(cut, 0).otherwise(acc["since"] + 1).alias("since"), F.concat(acc["out"], F.array(cut)).alias("out"))
-
-    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+def _stands_out(past: Column, s: Column) -> Column:
+    """Whether a surprise is more than one deviation over those before it, of which there are three at least."""
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    spread = lambda p, mean: F.sqrt(F.aggregate(p, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(p))
+    over = text.let(total(past) / F.size(past), lambda mean: text.let(spread(past, mean), lambda sd: F.when(sd < 1e-6, False).otherwise((s - mean) / sd > THRESHOLD)))
+    return F.when(F.size(past) < 3, False).otherwise(F.coalesce(over, F.lit(False)))
 
 
 def episodes(rows: DataFrame, by: str, order: str, content: str = "content") -> DataFrame:
-    """(by, order, surprise, boundary, episode) for each row of a stream."""
-    told = surprise(rows, [by], [order], content)
-    packed = told.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("surprise").alias("s")))).alias("x"))
-    flags = packed.select(by, "x", boundaries(F.transform("x", lambda v: v["s"])).alias("b"))
-    flat = flags.select(by, F.explode(F.arrays_zip("x", "b")).alias("r")).select(by, F.col("r.x.o").alias(order), F.col("r.x.s").alias("surprise"), F.col("r.b").alias("boundary"))
-    return flat.withColumn("episode", F.sum(F.col("boundary").cast("int")).over(Window.partitionBy(by).orderBy(order)))
+    """(by, order, surprise, boundary, episode) for each row of a stream.
+
+    A boundary stands out from the 64 rows before it and silences the two after
+    it.  Rows that stand out three or more apart do not meet, so only runs of
+    closer ones are folded; those are short, as no more than half of a window
+    lies a deviation over its mean.
+    """
+    told = surprise(rows, [by], [order], content).select(by, order, "surprise")
+    w = Window.partitionBy(by).orderBy(order)
+    past = F.collect_list("surprise").over(w.rowsBetween(-SEEN, -1))
+    placed = told.withColumn("_past", past).withColumn("_rn", F.row_number().over(w))
+    marked = placed.withColumn("_out", F.when(_stands_out(F.col("_past"), F.col("surprise")), F.col("_rn"))).drop("_past")
+    last = F.last("_out", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.withColumn("_new", F.coalesce(F.col("_out") - last > LEAST, F.col("_out").isNotNull()).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.collect_list("_out").over(Window.partitionBy(by, "_run").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0))
+    cut = F.aggregate("_near", F.lit(-LEAST), lambda at, x: F.when(x - at > LEAST, x).otherwise(at)) == F.col("_out")
+    flat = runs.withColumn("_near", near).withColumn("boundary", F.coalesce(cut, F.lit(False)))
+    return flat.withColumn("episode", F.sum(F.col("boundary").cast("int")).over(Window.partitionBy(by).orderBy("_rn"))).select(by, order, "surprise", "boundary", "episode")
 
 
 def memory_state(reviews: DataFrame, key: str | list[str], at: str = "at", grade: str = "grade") -> DataFrame:
