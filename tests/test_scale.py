@@ -88,3 +88,14 @@ def test_pairs_within_groups(spark):
     sims = sorted(w[2] for w in want)
     assert sorted(r.sim for r in near.collect())[k - 1] == sims[min(len(sims), int(0.95 * len(sims)) + 1) - 1]
     assert abs(mean - sum(sims) / len(sims)) < 1e-12
+
+
+def test_counter_evidence_holds_kinds_against_kinds(spark):
+    """Pairs of rows are multiplied out at the end; they are not shuffled to be counted or summed up."""
+    asked = spark.createDataFrame([(i, "the pump is working at site") for i in range(4)], "query_id int, query string")
+    notes = spark.createDataFrame([(i, "pump is broken at site" if i % 2 else "pump at site") for i in range(6)], "node int, content string")
+    found = retrieval.counter_evidence(asked, notes)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted({(r.query_id, r.node) for r in found.collect()}) == [(q, n) for q in range(4) for n in (1, 3, 5)]
+    again = retrieval.counter_evidence(asked.union(asked), notes)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
