@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenspark.functions import fixed, memory, text
 from provenspark.sources.store import step
 
+#: About as many nodes go in one list of those that queries of one kind have in common; parts that queries of one kind are dealt into.
+LIST, SALTS = 1024, 8
+
 
 def postings(nodes: DataFrame, id_col: str = "id", content: str = "content", partition: str = "partition") -> DataFrame:
     """(term, node, partition, tf): counts of a node's tokens over their Euclidean norm.
@@ -130,14 +135,35 @@ def as_of(t: Column) -> Column:
     return (F.col("valid_from").isNull() | (F.col("valid_from") <= t)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= t)) & ((F.col("observed_at") <= t) | F.col("valid_from").isNotNull())
 
 
-def bridge(cands: DataFrame, mentioned: DataFrame, mention: DataFrame, relation: DataFrame, weight: float = 0.55, hop: float = 0.7) -> DataFrame:
-    """Candidates raised by entities: mentions of a query's entities at weight, of related ones a hop lower; the larger score stays."""
+def bridge(cands: DataFrame, mentioned: DataFrame, mention: DataFrame, relation: DataFrame, weight: float = 0.55, hop: float = 0.7, form: Callable[[str], Column] = F.col) -> DataFrame:
+    """Candidates raised by entities: mentions of a query's entities at weight, of related ones a hop lower; the larger score stays.
+
+    Queries of the same entities are one kind, and nodes are found by kind; a
+    query's candidates among them are looked up, and all others are only multiplied
+    out at the end.  form, which keeps the order of scores, is worked out before that.
+    """
     near = mentioned.select("query_id", "entity_id", F.lit(weight).alias("w"))
     ends = relation.select(F.col("src").alias("entity_id"), F.col("dst").alias("other")).unionByName(relation.select(F.col("dst").alias("entity_id"), F.col("src").alias("other"))).distinct()
     far = near.join(ends, "entity_id").select("query_id", F.col("other").alias("entity_id"), (F.col("w") * hop).alias("w"))
     best = near.unionByName(far).groupBy("query_id", "entity_id").agg(F.max("w").alias("w"))
-    lifted = best.join(mention.select("entity_id", F.col("node_id").alias("node")), "entity_id").select("query_id", "node", F.col("w").alias("score"))
-    return cands.select("query_id", "node", "score").unionByName(lifted).groupBy("query_id", "node").agg(F.max("score").alias("score"))
+    kind = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "w"))).alias("es"))
+    asked = step(kind.withColumn("qk", F.to_json("es")), "asked")
+    held = asked.select("qk", "es").dropDuplicates(["qk"]).select("qk", F.inline("es"))
+    lifted = held.join(mention.select("entity_id", F.col("node_id").alias("node")), "entity_id").groupBy("qk", "node").agg(F.max("w").alias("score"))
+    lifted = step(lifted.withColumn("score", form("score")), "lifted")
+    known = lifted.select("qk", F.col("node").alias("n"), F.col("score").alias("w"), F.lit(True).alias("hit"))
+    given = cands.select(F.col("query_id").alias("q"), "node", "score").join(asked.select("query_id", "qk"), F.expr("q <=> query_id"), "left").drop("query_id").withColumnRenamed("q", "query_id")
+    met = given.join(known.withColumnRenamed("qk", "k"), F.expr("qk = k and node <=> n"), "left").select("query_id", "node", form("score").alias("score"), "w", "hit")
+    raised = step(met.groupBy("query_id", "node").agg(F.max(F.greatest("score", "w")).alias("score"), F.max("hit").alias("hit")), "raised")
+    nodes = lambda: F.when(F.max(F.col("node").isNull()), F.array_append(F.collect_list("node"), None)).otherwise(F.collect_list("node"))
+    hits = raised.where("hit").groupBy("query_id").agg(nodes().alias("hits")).withColumnRenamed("query_id", "q")
+    size = lifted.groupBy("qk", "score").agg(F.ceil(F.count("*") / LIST).alias("parts"))
+    lists = lifted.join(size, ["qk", "score"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).groupBy("qk", "score", "part").agg(nodes().alias("nodes"))
+    lists = step(lists.select("qk", "score", "nodes"), "lists").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = asked.select("query_id", "qk", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int").alias("salt"))  # most queries may be of one kind
+    every = dealt.join(hits, F.expr("query_id <=> q"), "left").join(lists, ["qk", "salt"])
+    rest = every.select("query_id", F.explode(F.when(F.col("hits").isNull(), F.col("nodes")).otherwise(F.array_except("nodes", "hits"))).alias("node"), "score")
+    return raised.select("query_id", "node", "score").unionByName(rest)
 
 
 def spread(cands: DataFrame, assoc: DataFrame, succession: DataFrame | None = None, damping: float = 0.35) -> DataFrame:

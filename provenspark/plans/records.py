@@ -171,7 +171,7 @@ def _(t):
     cands = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 500000).alias("score"))
     mention = t.supplier.select(F.col("s_nationkey").alias("entity_id"), (-F.col("s_suppkey")).alias("node_id"))
     relation = t.nation.where("n_nationkey != n_regionkey").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"))
-    return retrieval.bridge(cands, t.customer.select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").alias("entity_id")), mention, relation).withColumn("score", rounded("score"))
+    return retrieval.bridge(cands, t.customer.select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").alias("entity_id")), mention, relation, form=rounded)
 
 
 @query("assoc_spread", """WITH c AS (SELECT o_custkey AS q, o_orderkey AS node, o_totalprice / 500000 AS s FROM orders), a AS (SELECT l_orderkey AS src, -l_partkey AS dst, max(l_quantity) / 50 AS w FROM lineitem GROUP BY ALL), k AS (SELECT l_orderkey AS src, -l_suppkey - 1000000 AS dst, count(*) AS n FROM lineitem GROUP BY ALL),

@@ -159,3 +159,26 @@ def test_means_of_lists_as_aggregates(spark):
     assert {r.id: r.list for r in lists.collect()} == {i: int(np.argmax(centres @ v)) for i, v in units.items()}
     more, lists = vectors.inverted_lists(df, 4, iterations=3)
     assert lists.count() == 83 and np.isfinite([x for r in more.collect() for x in r.c]).all()
+
+
+def test_bridge_multiplies_rows_out_at_the_end(spark):
+    """The larger score of each query and node as one aggregate over all of them gives it; found pairs are not shuffled."""
+    dice = random.Random(9)
+    cands = [(q, n, dice.random()) for q in [*range(12), None] for n in [*dice.sample(range(40), 9), None]] + [(3, 5, 0.9), (3, 5, 0.95), (4, 6, None)]
+    mentioned = [(q, e) for q in range(14) for e in (q % 3, q % 4 + 2)] + [(5, 1), (6, None), (None, 2), (2, 2)]
+    mention = [(e, n) for e in range(8) for n in dice.sample(range(40), 15)] + [(1, None), (1, 3), (1, 3), (None, 7)]
+    relation = [(0, 1), (1, 0), (2, 6), (7, 3), (4, 4), (None, 2)]
+    link = [*relation, *((b, a) for a, b in relation)]
+    want = {}
+    for q, n, s in cands:
+        want.setdefault((q, n), []).append(s)
+    for q, e in mentioned:
+        for other, w in [(e, 0.55), *((b, 0.55 * 0.7) for a, b in link if a == e)]:
+            for m, n in mention:
+                if e is not None and m == other and m is not None:
+                    want.setdefault((q, n), []).append(w)
+    want = {at: max((s for s in some if s is not None), default=None) for at, some in want.items()}
+    found = retrieval.bridge(*(spark.createDataFrame(rows, f"{names}").repartition(3) for rows, names in ((cands, "query_id int, node int, score double"), (mentioned, "query_id int, entity_id int"), (mention, "entity_id int, node_id int"), (relation, "src int, dst int"))))
+    rows = [((r.query_id, r.node), r.score) for r in found.collect()]
+    assert dict(rows) == want and len(rows) == len(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
