@@ -8,8 +8,10 @@ refuse rows return (tables, refused).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -323,14 +325,57 @@ def successions(rows: DataFrame, by: str, order: str, node: str) -> DataFrame:
     return rows.withColumn("src", F.lag(node).over(w)).where(f"src is not null and src != {node}").groupBy("src", F.col(node).alias("dst")).agg(F.count("*").cast("int").alias("count"))
 
 
+def _recent(most: int):
+    """The entities last mentioned before each asking row, from mentions and asking rows of a partition in order of time.
+
+    An entity keeps its newest mention and the newest by another node than that: one
+    of them is not of the row that asks.  Entities are held in the order of their
+    newest mention, so few are looked at for a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict = OrderedDict()  # entity: (turn, at, node, turn of another node, at of another node)
+        part, turn, now = None, 0, None
+        for batch in batches:
+            out: list[tuple] = []
+            for p, at, asks, node, entity in zip(*(batch.column(c).to_pylist() for c in ("partition", "at", "asks", "node", "entity_id")), strict=True):
+                if p != part:
+                    held, part = OrderedDict(), p
+                if at != now and (at == at or now == now):
+                    turn, now = turn + 1, at  # times are told apart by turns, in Spark's order of them
+                if not asks:
+                    old = held.get(entity)
+                    held[entity] = (turn, at, node, *((None, None) if old is None else old[3:] if old[2] == node else old[:2]))
+                    held.move_to_end(entity)
+                    continue
+                best: list[tuple] = []
+                for e in reversed(held):
+                    s = held[e]
+                    if len(best) == most and s[0] < -best[-1][0]:
+                        break
+                    t, last = s[:2] if s[2] != node else s[3:]
+                    if t is not None:
+                        best = sorted([*best, (-t, e is not None, e, last)], key=lambda x: x[:3] if x[1] else x[:2])[:most]  # of one time in the order of entities
+                out += [(node, e, last) for _, _, e, last in best]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[i], batch.schema.field(c).type) for i, c in enumerate(("node", "entity_id", "at"))], names=["id", "entity_id", "last"])
+
+    return run
+
+
 def recent_entities(rows: DataFrame, mention: DataFrame, entity: DataFrame, most: int = 3) -> DataFrame:
     """(id, candidates): the entities last mentioned at or before each row (id, partition, at) in its partition, newest first.
 
     mention (entity_id, node_id, partition, at).  Only the newest mention of an
-    entity before the row counts; the bound on time is part of the join.
+    entity before the row counts, and none by the row itself.  Mentions and rows
+    of a partition are folded once in order of time, whatever the pairs of them.
     """
-    met = rows.select("id", "partition", F.col("at").alias("t")).join(mention, "partition").where("at <= t and node_id != id")
-    last = met.groupBy("id", "entity_id").agg(F.max("at").alias("last"))
+    told = mention.select("partition", "at", F.lit(0).alias("asks"), F.col("node_id").alias("node"), "entity_id")
+    asked = rows.select("partition", "at", F.lit(1).alias("asks"), F.col("id").alias("node"), F.lit(None).cast(mention.schema["entity_id"].dataType).alias("entity_id"))
+    every = told.unionByName(asked).where("partition is not null and at is not null and node is not null").repartition("partition").sortWithinPartitions("partition", "at", "asks")
+    kind = {c: every.schema[c].dataType.simpleString() for c in ("node", "entity_id", "at")}
+    met = every.mapInArrow(_recent(most), f"id {kind['node']}, entity_id {kind['entity_id']}, last {kind['at']}")
+    last = met.groupBy("id", "entity_id").agg(F.max("last").alias("last"))
     order = Window.partitionBy("id").orderBy(F.col("last").desc(), "entity_id")
     top = last.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).join(entity.select(F.col("id").alias("entity_id"), "name", "kind"), "entity_id")
     return top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name", "kind"))), lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"))).alias("candidates"))

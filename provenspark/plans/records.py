@@ -127,7 +127,7 @@ def _(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last DESC, e) AS rn FROM m) SELECT id, list(n_name ORDER BY rn) AS names FROM r JOIN nation ON n_nationkey = e WHERE rn <= 3 GROUP BY 1""")
 def _(t):
     rows = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("partition"), (F.col("s_suppkey") * 15).alias("at"))
-    mention = t.customer.select(F.col("c_nationkey").alias("entity_id"), (-F.col("c_custkey")).alias("node_id"), (F.col("c_nationkey") % 5).alias("partition"), F.col("c_custkey").alias("at"))
+    mention = t.customer.select(F.col("c_nationkey").alias("entity_id"), (-F.col("c_custkey") - 1).alias("node_id"), (F.col("c_nationkey") % 5).alias("partition"), F.col("c_custkey").alias("at"))
     entity = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("place").alias("kind"))
     return record.recent_entities(rows, mention, entity).select("id", F.transform("candidates", lambda c: c["name"]).alias("names"))
 

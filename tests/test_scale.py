@@ -182,3 +182,41 @@ def test_bridge_multiplies_rows_out_at_the_end(spark):
     rows = [((r.query_id, r.node), r.score) for r in found.collect()]
     assert dict(rows) == want and len(rows) == len(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_recent_entities_fold_once(spark):
+    """The newest mentions as a join of every row with all earlier ones gives them, without such a join."""
+    from provenspark.operators import record
+
+    dice = random.Random(13)
+    mention = [(dice.randrange(9), dice.randrange(30), dice.choice("ab"), float(dice.randrange(25))) for _ in range(160)] + [(None, 3, "a", 4.0), (2, None, "a", 5.0), (3, 4, "a", None), (4, 5, None, 1.0), (5, 6, "b", float("nan")), (1, 7, "b", float("nan"))]
+    rows = [(i, dice.choice("abc"), float(dice.randrange(25))) for i in range(60)] + [(7, "a", 24.0), (61, "a", None), (62, None, 3.0), (None, "a", 3.0), (63, "b", float("nan")), (64, "a", -1.0)]
+    m, r = spark.createDataFrame(mention, "entity_id int, node_id int, partition string, at double"), spark.createDataFrame(rows, "id int, partition string, at double")
+    entity = spark.createDataFrame([(e, f"e{e}", "k") for e in range(8)], "id int, name string, kind string")
+    met = r.select("id", "partition", F.col("at").alias("t")).join(m, "partition").where("at <= t and node_id != id")
+    last = met.groupBy("id", "entity_id").agg(F.max("at").alias("last"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("last").desc(), "entity_id"))
+    for most in (1, 3):
+        want = {}
+        for x in last.withColumn("rn", rank).where(F.col("rn") <= most).orderBy("id", "rn").collect():
+            if x.entity_id is not None and x.entity_id < 8:
+                want.setdefault(x.id, []).append(f"e{x.entity_id}")
+        found = record.recent_entities(r, m, entity, most)
+        assert {x.id: [c.name for c in x.candidates] for x in found.collect()} == want and len(want) > 30
+        assert "<= t" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1
+
+
+def test_recent_entities_of_the_first_keys(spark, tmp_path):
+    """Customer 0 is no node of supplier 0: keys from 0 on give what the oracle gives."""
+    import duckdb
+
+    from provenspark.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nation AS SELECT i::INT AS n_nationkey, 'n' || i AS n_name FROM range(25) AS r(i)")
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, (i * 7 % 25)::INT AS c_nationkey FROM range(60) AS r(i)")
+    con.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey, (i * 5 % 25)::INT AS s_nationkey FROM range(5) AS r(i)")
+    for t in ("nation", "customer", "supplier"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    found = {r.id: list(r.names) for r in catalogue.queries()["recent_entities"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(catalogue.oracle_sql()["recent_entities"]).fetchall()) and 0 in found
